@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lattiq.llm import langid
 from lattiq.llm.exact_dedup import exact_groups
 from lattiq.session import table
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.fit(docs.where(langid.train_part(F.col("doc_id"))))
+    held_out = ~langid.train_part(F.col("doc_id"))
+    return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict:
     return {
+        "op6_language_id": op6_language_id,
         "op10_exact_dedup": op10_exact_dedup,
     }
 

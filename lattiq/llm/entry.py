@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lattiq.llm import bpe, langid
+from lattiq.llm import bpe, langid, packing
 from lattiq.llm.exact_dedup import exact_groups
 from lattiq.session import table
 
@@ -13,6 +13,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.fit(docs.where(langid.train_part(F.col("doc_id"))))
@@ -27,6 +31,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op3_byte_bpe": op3_byte_bpe,
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op6_language_id": op6_language_id,
         "op10_exact_dedup": op10_exact_dedup,
     }

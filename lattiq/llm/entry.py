@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lattiq.llm import bpe, langid, packing
+from lattiq.llm import bpe, langid, packing, pii
 from lattiq.llm.exact_dedup import exact_groups
 from lattiq.session import table
 
 
+def op1_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     return {
+        "op1_contextual_pii": op1_contextual_pii,
         "op3_byte_bpe": op3_byte_bpe,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_language_id": op6_language_id,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lattiq.llm import bpe, langid, packing, pii
+from lattiq.llm import ann, bpe, langid, packing, pii
 from lattiq.llm.exact_dedup import exact_groups
 from lattiq.session import table
 
@@ -28,6 +28,10 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -38,6 +42,7 @@ def queries() -> dict:
         "op3_byte_bpe": op3_byte_bpe,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_language_id": op6_language_id,
+        "op7_learned_partitions": op7_learned_partitions,
         "op10_exact_dedup": op10_exact_dedup,
     }
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lattiq.llm import ann, bpe, langid, packing, pii
+from lattiq.llm.phrase_dedup import dedup_phrases
+from lattiq.llm.suffix_dedup import dedup_bytes
 from lattiq.llm.exact_dedup import exact_groups
 from lattiq.session import table
 
@@ -17,6 +19,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"))
 
 
+def op4_repeated_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_phrases(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -32,6 +38,10 @@ def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op9_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_bytes(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 
@@ -40,9 +50,11 @@ def queries() -> dict:
     return {
         "op1_contextual_pii": op1_contextual_pii,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_repeated_phrases": op4_repeated_phrases,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_language_id": op6_language_id,
         "op7_learned_partitions": op7_learned_partitions,
+        "op9_suffix_intervals": op9_suffix_intervals,
         "op10_exact_dedup": op10_exact_dedup,
     }
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lattiq.llm import ann, bpe, langid, packing, pii
+from lattiq.llm.ngram_join import jaccard_components
 from lattiq.llm.phrase_dedup import dedup_phrases
 from lattiq.llm.suffix_dedup import dedup_bytes
 from lattiq.llm.exact_dedup import exact_groups
@@ -15,6 +16,10 @@ def op1_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest_documents(table(spark, sf_dir, "documents"))
 
@@ -49,6 +54,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_contextual_pii": op1_contextual_pii,
+        "op2_ngram_jaccard": op2_ngram_jaccard,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_repeated_phrases": op4_repeated_phrases,
         "op5_best_fit_packing": op5_best_fit_packing,

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lattiq.llm import ann, bpe, langid, packing, pii
+from lattiq.llm import ann, bpe, chat, langid, packing, pii
 from lattiq.llm.ngram_join import jaccard_components
 from lattiq.llm.phrase_dedup import dedup_phrases
 from lattiq.llm.suffix_dedup import dedup_bytes
 from lattiq.llm.exact_dedup import exact_groups
-from lattiq.session import table
+from lattiq.session import materialize, table
 
 
 def op1_contextual_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,6 +43,23 @@ def op7_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op8_chat_transcripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    written = materialize(chat.transcripts(table(spark, sf_dir, "conversations")), "transcripts")
+    formatted = chat.format_transcripts(written, chat.fit_on(written))
+    roles = F.transform("parsed", lambda p: p["role"])
+    true = F.transform("turns", lambda t: t["role"])
+    return formatted.select(
+        "conv_id",
+        "segment",
+        "style",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.size("parsed").cast("long").alias("n_parsed"),
+        F.array_join(roles, ",").alias("roles"),
+        (roles == true).alias("roles_right"),
+        F.sha2("rendered", 256).alias("rendered_sha256"),
+    )
+
+
 def op9_suffix_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_bytes(table(spark, sf_dir, "documents"))
 
@@ -60,6 +77,7 @@ def queries() -> dict:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_language_id": op6_language_id,
         "op7_learned_partitions": op7_learned_partitions,
+        "op8_chat_transcripts": op8_chat_transcripts,
         "op9_suffix_intervals": op9_suffix_intervals,
         "op10_exact_dedup": op10_exact_dedup,
     }

@@ -190,7 +190,7 @@ def remove_repeats(
     earlier_only: bool,
     id_col: str = "doc_id",
     text_col: str = "text",
-    hot: int = 128,
+    hot: int = 4096,
     batch_bytes: int = 1 << 20,
 ) -> DataFrame:
     """Per row: key, doc_id, n, n_removed, n_spans, kept_sha256.

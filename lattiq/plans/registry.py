@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("prepare", "describe", "order", "maps")
+MODULES = ("prepare", "describe", "order", "maps", "outliers", "search", "verify")
 
 
 def query(sql: str | None = None) -> Callable:

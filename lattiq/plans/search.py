@@ -1 +1,128 @@
-"""Queries."""
+"""Queries: multi-objective ranking and search."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from lattiq.functions import scalar
+from lattiq.operators import pareto as E
+from lattiq.plans.registry import query
+from lattiq.session import table
+
+OBJS = ["o1", "o2"]
+CAND = "cand AS (SELECT s_suppkey AS uid, round(s_acctbal / 10000, 4) AS o1, round((s_suppkey * 37 % 101) / 101.0::DOUBLE, 4) AS o2, CASE WHEN s_acctbal < 0 THEN round(-s_acctbal / 1000, 4) ELSE 0.0 END::DOUBLE AS cv, s_nationkey AS grp FROM supplier)"
+DOM = "(CASE WHEN p.cv < 1e-9 AND q.cv < 1e-9 THEN p.o1 <= q.o1 AND p.o2 <= q.o2 AND (p.o1 < q.o1 OR p.o2 < q.o2) WHEN p.cv < 1e-9 THEN TRUE WHEN q.cv < 1e-9 THEN FALSE ELSE p.cv < q.cv END)"
+
+
+def candidates(spark, d):
+    return table(spark, d, "supplier").select(
+        F.col("s_suppkey").alias("uid"),
+        F.round(F.col("s_acctbal") / 10000, 4).alias("o1"),
+        F.round((F.col("s_suppkey") * 37 % 101) / 101.0, 4).alias("o2"),
+        F.when(F.col("s_acctbal") < 0, F.round(-F.col("s_acctbal") / 1000, 4)).otherwise(0.0).alias("cv"),
+        F.col("s_nationkey").alias("grp"),
+    )
+
+
+@query(f"WITH {CAND} SELECT uid, o1, o2, cv FROM cand q WHERE NOT EXISTS (SELECT 1 FROM cand p WHERE {DOM})")
+def e1_e2_j9_first_front(spark, d):
+    return E.first_front(candidates(spark, d), "uid", OBJS, "cv").select("uid", "o1", "o2", "cv")
+
+
+def _fronts_sql(n: int) -> str:
+    parts, left = [], "cand"
+    for k in range(n):
+        parts.append(f"f{k} AS (SELECT q.*, {k} AS front FROM {left} q WHERE NOT EXISTS (SELECT 1 FROM {left} p WHERE {DOM})), r{k} AS (SELECT * FROM {left} WHERE uid NOT IN (SELECT uid FROM f{k}))")
+        left = f"r{k}"
+    every = " UNION ALL ".join(f"SELECT uid, front FROM f{k}" for k in range(n)) + f" UNION ALL SELECT uid, {n} FROM r{n - 1}"
+    return f"WITH {CAND}, {', '.join(parts)} {every}"
+
+
+@query(_fronts_sql(3))
+def e2_fronts(spark, d):
+    return E.fronts(candidates(spark, d), "uid", OBJS, "cv", 3).select("uid", "front")
+
+
+@query(f"""WITH {CAND}, w AS (SELECT *, max(o1) OVER g - min(o1) OVER g AS s1, max(o2) OVER g - min(o2) OVER g AS s2, lag(o1) OVER a AS b1, lead(o1) OVER a AS n1, lag(o2) OVER b AS b2, lead(o2) OVER b AS n2 FROM cand
+ WINDOW g AS (PARTITION BY grp), a AS (PARTITION BY grp ORDER BY o1, uid), b AS (PARTITION BY grp ORDER BY o2, uid))
+SELECT uid, grp, CASE WHEN isinf(c) THEN 1e9 ELSE round(c, 6) END::DOUBLE AS crowding FROM (SELECT uid, grp, CASE WHEN s1 < 1e-8 THEN 0 WHEN b1 IS NULL OR n1 IS NULL THEN 'inf'::DOUBLE ELSE (n1 - b1) / s1 END + CASE WHEN s2 < 1e-8 THEN 0 WHEN b2 IS NULL OR n2 IS NULL THEN 'inf'::DOUBLE ELSE (n2 - b2) / s2 END AS c FROM w)""")
+def e3_w4_crowding(spark, d):
+    c = E.crowding(candidates(spark, d), "uid", "grp", OBJS)
+    return c.select("uid", "grp", F.when(F.col("crowding") == float("inf"), 1e9).otherwise(F.round("crowding", 6)).alias("crowding"))
+
+
+@query(f"""WITH t AS (SELECT p_partkey, greatest(0.3, least(0.85, 1 - 569.0::DOUBLE / greatest(1, p_size * p_size) / 10)) AS lim, p_retailprice / 1000 AS u, p_size / 40.0::DOUBLE AS dead FROM part), x AS (SELECT *, greatest(0, dead - lim) AS e FROM t)
+SELECT p_partkey, round(lim, 6) AS threshold, round(greatest(0, greatest(u, 0) - 1) + e * CASE WHEN e = 0 THEN 0 WHEN e < 0.2 THEN 1.5 WHEN e < 0.4 THEN 2.5 ELSE 5 END, 6)::DOUBLE AS cv FROM x WHERE abs(e - 0.2) > 1e-9 AND abs(e - 0.4) > 1e-9""")
+def e5_e6_constraint(spark, d):
+    t = table(spark, d, "part").select("p_partkey", E.dead_threshold(F.col("p_size"), F.col("p_size"), F.lit(569.0)).alias("lim"), (F.col("p_retailprice") / 1000).alias("u"), (F.col("p_size") / 40.0).alias("dead"))
+    excess = F.greatest(F.lit(0.0), F.col("dead") - F.col("lim"))
+    t = t.where((F.abs(excess - 0.2) > 1e-9) & (F.abs(excess - 0.4) > 1e-9))
+    return t.select("p_partkey", F.round("lim", 6).alias("threshold"), F.round(E.constraint_violation(F.col("u"), F.lit(0.0), F.col("dead"), F.col("lim")), 6).alias("cv"))
+
+
+@query("SELECT p_partkey, round(coalesce(NULLIF(p_size, 7) / 50.0::DOUBLE, p_retailprice / 2000, 1), 6) AS o1, round(coalesce(p_size / 100.0::DOUBLE, 1), 6) AS o2, round(1 - p_retailprice / 5000, 6) AS o3 FROM part")
+def e7_objectives(spark, d):
+    o = E.objectives(F.col("p_retailprice"), F.lit(2000.0), F.nullif("p_size", F.lit(7)) / 50.0, F.col("p_size") / 100.0, F.col("p_retailprice") / 5000)
+    return table(spark, d, "part").select("p_partkey", *[F.round(c, 6).alias(f"o{k}") for k, c in enumerate(o, 1)])
+
+
+@query(f"""WITH {CAND}, f AS (SELECT uid, o1, o2 FROM cand q WHERE NOT EXISTS (SELECT 1 FROM cand p WHERE {DOM})), n AS (SELECT a.uid, min(abs(a.o1 - b.o1) + abs(a.o2 - b.o2)) AS d FROM f a JOIN f b ON a.uid <> b.uid GROUP BY 1)
+SELECT (SELECT count(*) FROM f) AS front_size, (SELECT round(max(o1) - min(o1), 6) FROM f) AS spread_o1, (SELECT round(max(o2) - min(o2), 6) FROM f) AS spread_o2, round(coalesce(stddev_pop(d), 0), 6) AS spacing FROM n""")
+def e8_front_metrics(spark, d):
+    return E.front_metrics(E.first_front(candidates(spark, d), "uid", OBJS, "cv"), "uid", OBJS)
+
+
+@query()
+def e8_hypervolume(spark, d):
+    front = E.first_front(candidates(spark, d), "uid", OBJS, "cv").select(*OBJS).limit(10_000).collect()  # a front
+    return spark.createDataFrame([(float(E.hypervolume(np.array([tuple(r) for r in front]).reshape(-1, 2), np.array([1.1, 1.1]))),)], "hypervolume double")
+
+
+@query(f"WITH {CAND} SELECT DISTINCT q.uid FROM cand q JOIN cand p ON {DOM}")
+def e18_dominated_members(spark, d):
+    return E.dominated_members(candidates(spark, d), "uid", OBJS, "cv").select("uid")
+
+
+_NULLS = "n AS (SELECT uid, o1, CASE WHEN uid % 5 = 0 THEN NULL ELSE o2 END AS o2, 0.0::DOUBLE AS cv FROM cand)"
+_SKIP = "(coalesce(p.o1 <= q.o1, TRUE) AND coalesce(p.o2 <= q.o2, TRUE) AND (coalesce(p.o1 < q.o1, FALSE) OR coalesce(p.o2 < q.o2, FALSE)))"
+
+
+@query(f"WITH {CAND}, {_NULLS} SELECT uid FROM n q WHERE NOT EXISTS (SELECT 1 FROM n p WHERE {_SKIP})")
+def e17_o12_merged_front(spark, d):
+    n = candidates(spark, d).select("uid", "o1", F.when(F.col("uid") % 5 != 0, F.col("o2")).alias("o2"), F.lit(0.0).alias("cv"))
+    return E.first_front(n, "uid", OBJS, "cv", skip_null=True).select("uid")
+
+
+@query("""WITH l AS (SELECT 'p_type' AS parameter, p_type AS value, (p_size > 25)::INTEGER AS p FROM part UNION ALL SELECT 'p_brand', p_brand, (p_size > 25)::INTEGER FROM part), g AS (SELECT parameter, value, count(*) AS n, round(avg(p), 6) AS penalty_rate FROM l GROUP BY 1, 2)
+SELECT *, CASE WHEN penalty_rate >= 0.95 THEN 'remove' ELSE 'restrict' END AS advice FROM g WHERE penalty_rate > 0.5""")
+def e19_recommendations(spark, d):
+    return E.recommendations(table(spark, d, "part").withColumn("pen", F.col("p_size") > 25), ["p_type", "p_brand"], "pen")
+
+
+@query("""SELECT s_suppkey, round(CASE WHEN s_suppkey <= 10 THEN 30.0 WHEN s_suppkey >= 80 THEN 5.0 WHEN s_suppkey <= 40 THEN 30 * pow(15 / 30.0::DOUBLE, (ln(s_suppkey) - ln(10)) / (ln(40) - ln(10))) ELSE 15 * pow(5 / 15.0::DOUBLE, (ln(s_suppkey) - ln(40)) / (ln(80) - ln(40))) END, 2)::DOUBLE AS em FROM supplier WHERE s_suppkey > 0""")
+def e12_log_interpolation(spark, d):
+    x = F.col("s_suppkey").cast("double")
+    return table(spark, d, "supplier").where("s_suppkey > 0").select("s_suppkey", scalar.log_interpolate(x, [(10, 30.0), (40, 15.0), (80, 5.0)]).alias("em"))
+
+
+@query("SELECT p_partkey, md5('brand=' || p_brand || ';size=' || p_size || ';type=' || p_type) AS uid FROM part")
+def e13_gene_uid(spark, d):
+    genes = {"type": F.col("p_type"), "size": F.col("p_size"), "brand": F.col("p_brand"), "uid": F.lit("x")}
+    return table(spark, d, "part").select("p_partkey", scalar.gene_uid(genes).alias("uid"))
+
+
+@query()
+def e9_e16_search(spark, d):
+    from lattiq.operators.evolve import search
+
+    rows = table(spark, d, "supplier").orderBy("s_suppkey").limit(100).select(F.col("s_acctbal") / 10000, F.col("s_nationkey") / 25.0).collect()
+    space = {
+        "map_size": {"type": "discrete_int_pair", "min": 3, "max": 5},
+        "map_type": {"type": "categorical", "values": ["hex", "square"]},
+        "start_rate": {"type": "float", "min": 0.1, "max": 0.9, "log_scale": True},
+        "num_batches": {"type": "int", "min": 1, "max": 4},
+        "iterations": 15,
+        "percent": 20.0,
+    }
+    return search(spark, np.array([tuple(r) for r in rows], float), space, population=4, generations=2)

@@ -26,8 +26,8 @@ def spearman(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     """Spearman correlation by key; null where a side is constant."""
     ranked = df.select(*keys, average_rank(x, *keys).alias("rx"), average_rank(y, *keys).alias("ry"))
     agg = ranked.groupBy(*keys) if keys else ranked.groupBy()
-    flat = (F.stddev_pop("rx") == 0) | (F.stddev_pop("ry") == 0)
-    return agg.agg(F.when(~flat, F.corr("rx", "ry")).alias("rho"), F.count(F.lit(1)).alias("n"))
+    spread = F.stddev_pop("rx") * F.stddev_pop("ry")
+    return agg.agg((F.covar_pop("rx", "ry") / F.when(spread > 0, spread)).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def relative_to_first(value: str, keys: list[str], order: list, floor: float = 1e-10) -> Column:

@@ -1 +1,37 @@
-"""Queries."""
+"""Queries: extensions on Structured Streaming."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import functions as F
+
+from lattiq.plans.registry import query
+from lattiq.session import scratch_root, table
+from lattiq.streaming import score
+
+
+def _events_stream(spark, d):
+    schema = table(spark, d, "events").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+
+
+@query("SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOUR GROUP BY 1, 2")
+def stream_windowed_counts(spark, d):
+    out = score.windowed_counts(_events_stream(spark, d), "ts", "event_type")
+    name = f"counts_{uuid.uuid4().hex}"
+    return score.run_once(out, name, "append", f"{scratch_root(spark)}/{name}")
+
+
+@query("SELECT user_id % 4 AS bmu_i, count(*) AS n FROM (SELECT user_id FROM events) GROUP BY 1")
+def stream_scored_rows(spark, d):
+    import numpy as np
+
+    from lattiq.operators.grid import Grid
+    from lattiq.operators.som import Codebook
+
+    cb = Codebook(Grid(4, 1, "square"), ("x",), np.array([[0.0], [1.0], [2.0], [3.0]]))
+    rows = _events_stream(spark, d).select("event_id", (F.col("user_id") % 4).cast("double").alias("x"))
+    out = score.score_stream(rows, cb, ["event_id"]).groupBy(F.col("bmu_i").cast("long").alias("bmu_i")).agg(F.count(F.lit(1)).alias("n"))
+    name = f"scored_{uuid.uuid4().hex}"
+    return score.run_once(out, name, "complete", f"{scratch_root(spark)}/{name}")

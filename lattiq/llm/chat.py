@@ -104,11 +104,15 @@ class ChatModel:
 
 
 def fit(labelled: list[tuple[list[str], list[int]]]) -> ChatModel:
-    """Count states of the lines that are not blank; every count starts at a small constant."""
+    """Count states of the lines that are not blank.
+
+    The feature shares of a state are mixed with those of all states, little for markers and
+    more for the others, so that a rare state does not gain from its thin counts.
+    """
     k = 2 * len(ROLES)
     start, step = np.full(k, 0.1), np.full((k, k), 0.05)
     start[_CONTINUE::2] = 1e-6  # a transcript begins with a turn,
-    emit = [np.full((k, v), 0.2) for v in _SIZES]
+    emit = [np.full((k, v), 1e-3) for v in _SIZES]
     for role in range(len(ROLES)):  # and a turn goes on in its own role
         step[2 * role : 2 * role + 2, _CONTINUE::2] = 1e-6
         step[2 * role : 2 * role + 2, 2 * role + _CONTINUE] = 0.5
@@ -120,7 +124,11 @@ def fit(labelled: list[tuple[list[str], list[int]]]) -> ChatModel:
         np.add.at(step, (states[:-1], states[1:]), 1)
         for f, e in enumerate(emit):
             np.add.at(e, (states, seen[:, f]), 1)
-    return ChatModel(np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)), tuple(np.log(e / e.sum(1, keepdims=True)) for e in emit))
+    mixed = []
+    for f, e in enumerate(emit):
+        own, pooled, share = e / e.sum(1, keepdims=True), (e.sum(0) + 0.5) / (e.sum() + 0.5 * e.shape[1]), 0.01 if f == 0 else 0.3
+        mixed.append(np.log((1 - share) * own + share * pooled))
+    return ChatModel(np.log(start / start.sum()), np.log(step / step.sum(1, keepdims=True)), tuple(mixed))
 
 
 def parse(text: str | None, model: ChatModel) -> list[tuple[str, str]]:

@@ -11,8 +11,8 @@ two keys for each window length. The steps:
 3. ``fragments``: the text around each recurring anchor, that is, the run of windows
    that have it. Equal fragments are collapsed before they meet.
 4. A kernel, given by the operator, decides the windows of each anchor's fragments.
-   An anchor with very many fragments is not gathered: its windows are spread by their own
-   64-bit hashes and counted by an ordinary aggregate.
+   An anchor with very many fragments is not gathered: its windows are dealt by their own
+   64-bit hashes to as many groups as it needs, and equal hashes are counted there.
 5. Window verdicts go back to their documents.
 """
 
@@ -126,43 +126,49 @@ def _fragments(docs: DataFrame, win: Windows, hot: int) -> DataFrame:
     """Per run of windows with a recurring anchor: its content, or, under a hot anchor, its windows' hashes."""
 
     def apply(rows: dict) -> dict:
-        out: dict[str, list] = {k: [] for k in ("key", "doc_id", "anchor", "start", "hash", "content", "hashes")}
+        out: dict[str, list] = {k: [] for k in ("key", "doc_id", "anchor", "start", "hash", "content", "hashes", "deal", "at")}
         for key, doc_id, text, wanted in zip(rows["key"], rows["doc_id"], rows["text"], rows["wanted"], strict=True):
             times = {w["anchor"]: w["times"] for w in wanted}
             units, content = win.read(text or "")
-            for s, _, starts, ends, values in win.runs(units):
+            for s, grams, starts, ends, values in win.runs(units):
                 for a, b, v in zip(starts.tolist(), ends.tolist(), values.view(np.int64).tolist(), strict=True):
                     if v not in times:
                         continue
                     is_hot = times[v] > hot
-                    part = None if is_hot else content(s + a, s + b - 1 + win.size)
-                    name = 0 if is_hot else int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
+                    part = content(s + a, s + b - 1 + win.size)
+                    name = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
                     hashes = gram_hashes(units[s + a : s + b - 1 + win.size], win.size).view(np.int64) if is_hot else None
-                    for k, x in zip(out, (key, doc_id, v, s + a, name, part, hashes), strict=True):
+                    places = np.flatnonzero(grams[a : b - 1 + win.width].view(np.int64) == v)
+                    at = int(places[0]) if len(places) == 1 else -1
+                    row = (key, doc_id, v, s + a, name, None if is_hot else part, hashes, -(-times[v] // hot), at)
+                    for k, x in zip(out, row, strict=True):
                         out[k].append(x)
         return out
 
-    return map_batches(docs, apply, "key long, doc_id long, anchor long, start long, hash long, content binary, hashes array<long>")
+    return map_batches(docs, apply, "key long, doc_id long, anchor long, start long, hash long, content binary, hashes array<long>, deal int, at int")
 
 
-Kernel = Callable[[list[int], list[bytes], list[int], list[int]], list[list[tuple[int, int, int]]]]
+Kernel = Callable[[list[int], list[bytes], list[int], list[int], list[int]], list[list[tuple[int, int, int]]]]
+_MARKS = "array<struct<lo:int,hi:int,doc:long>>"
+_MARKS_TYPE = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("doc", pa.int64())]))
+
+
+def _mark_batch(anchors: list[int], names: list[int], marks: list[list[tuple[int, int, int]]]) -> pa.RecordBatch:
+    rows = [[{"lo": a, "hi": b, "doc": d} for a, b, d in m] for m in marks]
+    return pa.RecordBatch.from_arrays([pa.array(anchors, pa.int64()), pa.array(names, pa.int64()), pa.array(rows, _MARKS_TYPE)], names=["anchor", "hash", "marks"])
 
 
 def _decide(parts: DataFrame, kernel: Kernel, batch_bytes: int) -> DataFrame:
     """Run the kernel over whole groups of one anchor, several groups at a time.
 
-    It gets, for each distinct fragment, its anchor, content, smallest document and number of
-    occurrences; it returns runs (first window, last window, smallest document).
+    It gets, for each distinct fragment, its anchor, content, smallest document, number of
+    occurrences, and the unit its anchor begins at (-1 if it has several); it returns
+    runs (first window, last window, smallest document).
     """
-    mark = "array<struct<lo:int,hi:int,doc:long>>"
-    mark_type = pa.list_(pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("doc", pa.int64())]))
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
-        found = kernel([r[0] for r in rows], [r[2] for r in rows], [r[3] for r in rows], [r[4] for r in rows])
-        marks = [[{"lo": a, "hi": b, "doc": d} for a, b, d in f] for f in found]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array(marks, mark_type)], names=["anchor", "hash", "marks"]
-        )
+        anchors, names, *rest = (list(c) for c in zip(*rows, strict=True))
+        return _mark_batch(anchors, names, kernel(anchors, *rest))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -179,7 +185,51 @@ def _decide(parts: DataFrame, kernel: Kernel, batch_bytes: int) -> DataFrame:
 
     n = shuffle_partitions(parts.sparkSession)
     sorted_parts = parts.repartition(n, "anchor").sortWithinPartitions("anchor")
-    return sorted_parts.mapInArrow(run, f"anchor long, hash long, marks {mark}")
+    return sorted_parts.mapInArrow(run, f"anchor long, hash long, marks {_MARKS}")
+
+
+def _spread(runs: DataFrame) -> DataFrame:
+    """Verdicts on the distinct runs (anchor, hash, hashes, doc_id, times, deal) of hot anchors.
+
+    A run is dealt to ``deal`` parts by its windows' hashes, so equal windows of an anchor
+    meet in one group, and a group has about as many windows as an ordinary anchor's.
+    """
+    parts = runs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
+    pick = F.filter(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: F.pmod(x["h"], F.col("deal")) == F.col("part"))
+    parts = parts.select("anchor", "part", "hash", "doc_id", "times", pick.alias("w"))
+    parts = parts.select("anchor", "part", "hash", "doc_id", "times", F.transform("w", lambda x: x["h"]).alias("h"), F.transform("w", lambda x: x["i"]).alias("i"))
+    n = shuffle_partitions(runs.sparkSession)
+    dealt = parts.where(F.size("h") > 0).repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part")
+
+    def flush(rows: list[tuple]) -> pa.RecordBatch:
+        sizes = [len(r[5]) for r in rows]
+        hashes = np.concatenate([np.array(r[5], np.int64) for r in rows])
+        docs = np.repeat(np.array([r[3] for r in rows], np.int64), sizes)
+        times = np.repeat(np.array([r[4] for r in rows], np.int64), sizes)
+        order = np.lexsort((docs, hashes))
+        first = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
+        lengths = np.diff(np.append(first, len(order)))
+        least, total = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
+        least[order] = np.repeat(docs[order][first], lengths)
+        total[order] = np.repeat(np.add.reduceat(times[order], first), lengths)
+        marks, at = [], 0
+        for r, size in zip(rows, sizes, strict=True):
+            marks.append([(i, i, d) for i, d, t in zip(r[6], least[at : at + size].tolist(), total[at : at + size].tolist(), strict=True) if t > 1])
+            at += size
+        return _mark_batch([r[0] for r in rows], [r[2] for r in rows], marks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and row[:2] != held[0][:2]:
+                    yield flush(held)
+                    held = []
+                held.append(row)
+        if held:
+            yield flush(held)
+
+    return dealt.mapInArrow(run, f"anchor long, hash long, marks {_MARKS}")
 
 
 def remove_repeats(
@@ -219,22 +269,17 @@ def remove_repeats(
     recurring = anchors.groupBy("anchor").agg(F.sum("times").cast("int").alias("times")).where("times > 1")
     wanted = anchors.select("key", "anchor").join(recurring, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "times")).alias("wanted"))
     pieces = materialize(_fragments(keyed.join(wanted, "key"), win, hot), "passage-fragments")
-    # ordinary anchors: the kernel decides
-    cold = pieces.where("content IS NOT NULL")
-    parts = cold.groupBy("anchor", "hash").agg(F.first("content").alias("content"), F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).cast("int").alias("times"))
-    verdicts = _decide(parts.select("anchor", "hash", "content", "doc_id", "times"), kernel, batch_bytes)
-    marks = cold.select("key", "doc_id", "start", "anchor", "hash").join(verdicts, ["anchor", "hash"]).select("key", "doc_id", "start", F.explode("marks").alias("m"))
-    if earlier_only:
-        marks = marks.where(F.col("m.doc") < F.col("doc_id"))
-    marks = marks.select("key", (F.col("start") + F.col("m.lo")).alias("lo"), (F.col("start") + F.col("m.hi")).alias("hi"))
-    # hot anchors: counted by the hash of each window
-    each = pieces.where("hashes IS NOT NULL").select("key", "doc_id", "start", F.posexplode("hashes").alias("at", "hash"))
-    seen = each.groupBy("hash").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    spread = each.join(seen, "hash")
+    # ordinary anchors: the kernel decides; hot ones: their windows are dealt to several groups. Equal runs are one
+    first = [F.first(c).alias(c) for c in ("content", "hashes", "deal", "at")]
+    parts = pieces.groupBy("anchor", "hash").agg(*first, F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).cast("int").alias("times"))
+    parts = materialize(parts, "passage-parts")
+    decided = _decide(parts.where("content IS NOT NULL").select("anchor", "hash", "content", "doc_id", "times", "at"), kernel, batch_bytes)
+    verdicts = decided.unionByName(_spread(parts.where("hashes IS NOT NULL"))).where(F.size("marks") > 0)
+    marks = pieces.select("key", "doc_id", "start", "anchor", "hash").join(verdicts, ["anchor", "hash"])
     if earlier_only:
-        spread = spread.where(F.col("least") < F.col("doc_id"))
-    spread = spread.select("key", (F.col("start") + F.col("at")).alias("lo"), (F.col("start") + F.col("at")).alias("hi"))
-    gone = marks.unionByName(spread).distinct().groupBy("key").agg(F.collect_list(F.struct("lo", "hi")).alias("gone"))
+        marks = marks.withColumn("marks", F.filter("marks", lambda m: m["doc"] < F.col("doc_id")))
+    shifted = F.transform("marks", lambda m: F.struct((F.col("start") + m["lo"]).alias("lo"), (F.col("start") + m["hi"]).alias("hi")))
+    gone = marks.where(F.size("marks") > 0).select("key", shifted.alias("gone")).groupBy("key").agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
     def cut(rows: dict) -> dict:
         out: dict[str, list] = {"key": rows["key"], "n_removed": [], "n_spans": [], "cut_sha": []}

@@ -73,7 +73,7 @@ def _symbol(n: int) -> str:
 def locate(size: int):
     """Kernel: confirm passages, compile an automaton, stream the fragments."""
 
-    def kernel(anchors: list[int], contents: list[bytes], docs: list[int], times: list[int]) -> list[list[tuple[int, int, int]]]:
+    def kernel(anchors: list[int], contents: list[bytes], docs: list[int], times: list[int], at: list[int]) -> list[list[tuple[int, int, int]]]:
         symbols: dict[bytes, str] = {}
         streams = ["".join([symbols.setdefault(w, _symbol(len(symbols))) for w in c.split(b" ")]) for c in contents]
         least: dict[str, list[int]] = {}

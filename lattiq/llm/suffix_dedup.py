@@ -14,6 +14,8 @@ any length are read whole, in segments; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
+import os
 from collections.abc import Callable
 
 import numpy as np
@@ -43,7 +45,7 @@ def suffix_order(codes: np.ndarray) -> np.ndarray:
         key = key * base + padded[k : k + n]
     reach = packed
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # equal keys get one rank, so their order does not matter
         ranked = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
@@ -62,32 +64,38 @@ def bounded_lcp(codes: np.ndarray, order: np.ndarray, symbols: int, limit: int)
     """
     n = len(codes)
     bwt = codes[order - 1]  # the code before each suffix
-    first = np.sort(codes)
     to = np.empty(n, np.int64)
     to[np.argsort(bwt, kind="stable")] = np.arange(n)  # place of the suffix one byte longer
     lcp = np.full(n + 1, -1, np.int32)
-    starts = np.concatenate(([0], np.flatnonzero(first[1:] != first[:-1]) + 1))
+    lcp[0] = lcp[n] = 0
+    # prefixes of up to `known` codes are compared directly; the expansion begins where those intervals end
+    known = min(8, limit)
+    same, at = np.ones(n - 1, bool), np.append(codes, np.full(known, -1))
+    for length in range(known):
+        here = at[order + length]
+        differ = same & (here[1:] != here[:-1])
+        lcp[1:n][differ] = length
+        same &= ~differ
+    starts = np.flatnonzero(lcp[:n] >= 0)
     ends = np.append(starts[1:], n)
-    lcp[starts] = 0
-    lcp[n] = 0
-    low, high = starts, ends
-    for length in range(1, limit):
+    last = lcp[ends] == known - 1
+    low, high = starts[last], ends[last]
+    for length in range(known, limit):
         sizes = high - low
         if not len(sizes):
             break
         owner = np.repeat(np.arange(len(low)), sizes)
-        rows = np.arange(len(owner)) + np.repeat(low - np.concatenate(([0], np.cumsum(sizes)[:-1])), sizes)
+        rows = np.arange(len(owner)) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
         code = bwt[rows]
         real = code < symbols
-        owner, rows, code = owner[real], rows[real], code[real]
-        key = owner * symbols + code
-        if sizes.max() > 1:
-            by = np.argsort(key, kind="stable")
-            key, rows = key[by], rows[by]
+        key, target = owner[real] * symbols + code[real], to[rows[real]]
         if not len(key):
             break
+        if sizes.max() > 1:
+            by = np.argsort(key)
+            key, target = key[by], target[by]
         new = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
-        low = to[rows[new]]
+        low = np.minimum.reduceat(target, new)
         high = low + np.diff(np.append(new, len(key)))
         fresh = lcp[high] == -1
         low, high = low[fresh], high[fresh]
@@ -95,17 +103,48 @@ def bounded_lcp(codes: np.ndarray, order: np.ndarray, symbols: int, limit: int)
     return lcp[:n]
 
 
-def expand(size: int):
-    """Kernel: windows of the fragments that start elsewhere too."""
+def may_repeat(contents: list[bytes], at: list[int], gram: int, size: int) -> list[bool]:
+    """Which fragments of one anchor can share a string of *size* bytes with another.
+
+    Around the anchor a fragment agrees with any other at most as far as with its
+    neighbours in the order of what follows and in the order of what precedes. Where an
+    anchor stands several times, a fragment can repeat itself, and all are kept.
+    """
+    if min(at) < 0:
+        return [True] * len(contents)
+    reach = [gram] * len(contents)
+    for sides in ([c[a + gram :] for c, a in zip(contents, at, strict=True)], [c[:a][::-1] for c, a in zip(contents, at, strict=True)]):
+        order = sorted(range(len(sides)), key=sides.__getitem__)
+        far = [0] * len(sides)
+        for x, y in itertools.pairwise(order):
+            n = len(os.path.commonprefix((sides[x], sides[y])))
+            far[x], far[y] = max(far[x], n), max(far[y], n)
+        reach = [r + f for r, f in zip(reach, far, strict=True)]
+    return [r >= size for r in reach]
+
+
+def expand(size: int, gram: int):
+    """Kernel: windows of the fragments that start elsewhere too.
+
+    A fragment that occurs several times is repeated as a whole; those that can share
+    a string with another fragment of their anchor are expanded together.
+    """
 
-    def kernel(anchors: list[int], contents: list[bytes], docs: list[int], times: list[int]) -> list[list[tuple[int, int, int]]]:
-        # a fragment that occurs several times stands twice
-        texts = [c for c, n in zip(contents, times, strict=True) for _ in range(min(n, 2))]
-        owner = [i for i, n in enumerate(times) for _ in range(min(n, 2))]
+    def kernel(anchors: list[int], contents: list[bytes], docs: list[int], times: list[int], at: list[int]) -> list[list[tuple[int, int, int]]]:
+        found: list[list[tuple[int, int, int]]] = [[(0, len(c) - size, 0)] if n > 1 else [] for c, n in zip(contents, times, strict=True)]
+        owner: list[int] = []
+        for _, group in itertools.groupby(range(len(anchors)), anchors.__getitem__):
+            g = list(group)
+            may = may_repeat([contents[i] for i in g], [at[i] for i in g], gram, size)
+            some = [i for i, m in zip(g, may, strict=True) if m]
+            owner += some if any(times[i] == 1 for i in some) else []
+        if not owner:
+            return found
+        texts = [contents[i] for i in owner]
         lengths = np.array([len(t) + 1 for t in texts])
         ends = np.cumsum(lengths)
-        codes = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8).astype(np.int64)
-        used, dense = np.unique(codes, return_inverse=True)
+        raw = np.frombuffer(b"\0".join(texts) + b"\0", np.uint8)
+        used, dense = np.unique(raw, return_inverse=True)
         symbols = len(used)
         codes = dense.astype(np.int64)
         codes[ends - 1] = symbols + np.arange(len(texts))
@@ -114,14 +153,13 @@ def expand(size: int):
         repeated = np.zeros(len(codes), bool)
         repeated[order[shared]] = True
         repeated[order[np.flatnonzero(shared) - 1]] = True
-        found: list[list[tuple[int, int, int]]] = [[] for _ in contents]
         step = np.diff(repeated.astype(np.int8), prepend=0, append=0)
         on, off = np.flatnonzero(step == 1), np.flatnonzero(step == -1) - 1
         text_no = np.searchsorted(ends, on, side="right")
         for a, b, t in zip(on.tolist(), off.tolist(), text_no.tolist(), strict=True):
-            i, at = owner[t], int(ends[t] - lengths[t])
-            if t == 0 or owner[t - 1] != i:  # its second copy says the same
-                found[i].append((a - at, b - at, 0))
+            if times[owner[t]] == 1:
+                start = int(ends[t] - lengths[t])
+                found[owner[t]].append((a - start, b - start, 0))
         return found
 
     return kernel
@@ -130,5 +168,5 @@ def expand(size: int):
 def dedup_bytes(docs: DataFrame, size: int = 400, gram: int = 64, **options) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     win = Windows(size, gram, read_bytes)
-    got = remove_repeats(docs, win, expand(size), kept_bytes, earlier_only=False, **options)
+    got = remove_repeats(docs, win, expand(size, gram), kept_bytes, earlier_only=False, **options)
     return got.select("doc_id", got.n.alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")

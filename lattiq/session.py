@@ -44,8 +44,8 @@ def scratch_root(spark: SparkSession) -> str:
     if not base:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        base = tempfile.mkdtemp(prefix="lattiq-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lattiq-"))
+        base = spark.sparkContext.getCheckpointDir()
     return f"{base.rstrip('/')}/lattiq-{spark.sparkContext.applicationId}"
 
 

@@ -34,8 +34,12 @@ def kept_bytes(text: str, removed: np.ndarray) -> bytes:
 
 
 def suffix_order(codes: np.ndarray) -> np.ndarray:
-    """Sorted suffixes by prefix doubling; *codes* ends every string with a code of its own."""
+    """Sorted suffixes by prefix doubling; *codes* ends every string with a code of its own.
+
+    Each round sorts only the suffixes whose rank is still shared.
+    """
     n, base = len(codes), int(codes.max()) + 2
+    bits = n.bit_length()
     packed = 1
     while base ** (packed + 1) < 2**62 and packed < 8:
         packed += 1
@@ -43,20 +47,32 @@ def suffix_order(codes: np.ndarray) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(packed):
         key = key * base + padded[k : k + n]
-    reach = packed
+    order = np.argsort(key)  # equal keys get one rank, so their order does not matter
+    key = key[order]
+    slots, rank, reach = np.arange(n), np.zeros(n + 1, np.int64), packed
     while True:
-        order = np.argsort(key)  # equal keys get one rank, so their order does not matter
-        ranked = key[order]
-        rank = np.empty(n, np.int64)
-        rank[order] = np.concatenate(([0], np.cumsum(ranked[1:] != ranked[:-1])))
-        if rank[order[-1]] == n - 1:
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        group = np.maximum.accumulate(np.where(new, slots, 0))
+        rank[order[slots]] = group + 1
+        shared = ~(new & np.append(new[1:], True))
+        slots, group = slots[shared], group[shared]
+        if not len(slots):
             return order
-        tail = np.zeros(n, np.int64)
-        tail[: n - reach] = rank[reach:] + 1
-        key = rank * (n + 1) + tail
+        at = order[slots]
+        key = group << bits | rank[np.minimum(at + reach, n)]
+        key, order[slots] = _sort_pairs(key, at, 2 * bits, bits)
         reach *= 2
 
 
+def _sort_pairs(key: np.ndarray, value: np.ndarray, key_bits: int, value_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both columns by key, then value; as single integers where they fit, which sorts faster."""
+    if key_bits + value_bits < 64:
+        both = np.sort(key << value_bits | value)
+        return both >> value_bits, both & ((1 << value_bits) - 1)
+    order = np.lexsort((value, key))
+    return key[order], value[order]
+
+
 def bounded_lcp(codes: np.ndarray, order: np.ndarray, symbols: int, limit: int) -> np.ndarray:
     """Common prefix length of each suffix with the one before it in *order*; -1 where it is *limit* or more.
 
@@ -66,6 +82,7 @@ def bounded_lcp(codes: np.ndarray, order: np.ndarray, symbols: int, limit: int)
     bwt = codes[order - 1]  # the code before each suffix
     to = np.empty(n, np.int64)
     to[np.argsort(bwt, kind="stable")] = np.arange(n)  # place of the suffix one byte longer
+    run = np.cumsum(np.diff(bwt, prepend=bwt[0]) != 0)
     lcp = np.full(n + 1, -1, np.int32)
     lcp[0] = lcp[n] = 0
     # prefixes of up to `known` codes are compared directly; the expansion begins where those intervals end
@@ -80,25 +97,30 @@ def bounded_lcp(codes: np.ndarray, order: np.ndarray, symbols: int, limit: int)
     ends = np.append(starts[1:], n)
     last = lcp[ends] == known - 1
     low, high = starts[last], ends[last]
+    bits = n.bit_length()
     for length in range(known, limit):
-        sizes = high - low
-        if not len(sizes):
+        if not len(low):
             break
-        owner = np.repeat(np.arange(len(low)), sizes)
-        rows = np.arange(len(owner)) + np.repeat(low - (np.cumsum(sizes) - sizes), sizes)
-        code = bwt[rows]
-        real = code < symbols
-        key, target = owner[real] * symbols + code[real], to[rows[real]]
-        if not len(key):
-            break
-        if sizes.max() > 1:
-            by = np.argsort(key)
-            key, target = key[by], target[by]
-        new = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1))
-        low = np.minimum.reduceat(target, new)
-        high = low + np.diff(np.append(new, len(key)))
-        fresh = lcp[high] == -1
-        low, high = low[fresh], high[fresh]
+        # an interval with one code before all of its rows is extended as a whole
+        plain = run[low] == run[high - 1]
+        begin, end = low[plain], high[plain]
+        real = bwt[begin] < symbols
+        left = to[begin[real]]
+        right = left + (end - begin)[real]
+        # the rows of the others are grouped by interval and code
+        begin, end = low[~plain], high[~plain]
+        if len(begin):
+            sizes = end - begin
+            owner = np.repeat(np.arange(len(begin)), sizes)
+            rows = np.arange(len(owner)) + np.repeat(begin - (np.cumsum(sizes) - sizes), sizes)
+            code = bwt[rows]
+            real = code < symbols
+            key, target = _sort_pairs(owner[real] * symbols + code[real], to[rows[real]], (len(begin) * symbols).bit_length(), bits)
+            new = np.flatnonzero(np.diff(key, prepend=-1))
+            left = np.concatenate((left, target[new]))
+            right = np.concatenate((right, target[new] + np.diff(np.append(new, len(key)))))
+        fresh = lcp[right] == -1
+        low, high = left[fresh], right[fresh]
         lcp[high] = length
     return lcp[:n]
 
@@ -165,8 +187,11 @@ def expand(size: int, gram: int):
     return kernel
 
 
-def dedup_bytes(docs: DataFrame, size: int = 400, gram: int = 64, **options) -> DataFrame:
-    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
+def dedup_bytes(docs: DataFrame, size: int = 400, gram: int = 64, batch_bytes: int = 1 << 18, **options) -> DataFrame:
+    """Per row: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+
+    *batch_bytes*: about what one BWT holds; small ones stay in the processor's caches.
+    """
     win = Windows(size, gram, read_bytes)
-    got = remove_repeats(docs, win, expand(size, gram), kept_bytes, earlier_only=False, **options)
+    got = remove_repeats(docs, win, expand(size, gram), kept_bytes, earlier_only=False, batch_bytes=batch_bytes, **options)
     return got.select("doc_id", got.n.alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")

@@ -334,3 +334,21 @@ def test_awkward_conversations(spark):
     assert len(out) == 3 and all(r.rendered is not None for r in out)
     none = chat.transcripts(df.limit(0))
     assert chat.format_transcripts(none, chat.fit_on(none)).count() == 0
+
+
+def test_interval_expansion_of_small_strings():
+    """The kernel alone, against counting, with few letters and so with long and periodic repeats."""
+    for seed in range(60):
+        rng = random.Random(seed)
+        letters, size = bytes(rng.sample(range(256), rng.choice([1, 2, 4, 20]))), rng.choice([3, 9, 12, 20])
+        base = bytes(rng.choice(letters) for _ in range(60))
+        noise = [bytes(rng.choice(letters) for _ in range(rng.randint(0, 15))) for _ in range(12)]
+        texts = sorted({noise[2 * k] + base[rng.randint(0, 20) : rng.randint(21, 60)] + noise[2 * k + 1] for k in range(rng.randint(1, 6))})
+        texts = [t for t in texts if len(t) >= size]
+        if not texts:
+            continue
+        n = len(texts)
+        marks = suffix_dedup.expand(size, 3)([1] * n, texts, [0] * n, [1] * n, [-1] * n)
+        seen = collections.Counter(t[i : i + size] for t in texts for i in range(len(t) - size + 1))
+        want = [{i for i in range(len(t) - size + 1) if seen[t[i : i + size]] > 1} for t in texts]
+        assert [{i for a, b, _ in m for i in range(a, b + 1)} for m in marks] == want

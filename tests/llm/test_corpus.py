@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lattiq.llm import ann, bpe, chat, entry, exact_dedup, langid, ngram_join, packing, passages, phrase_dedup, suffix_dedup
 from lattiq.llm.components import connected_components
-from lattiq.llm.signature_tree import Forest, bitmap, collisions, traverse_all
+from lattiq.llm.signature_tree import Forest, bitmap, collisions, fold, traverse_all
 from lattiq.session import table
 
 SF = "/root/testdata/sf0.001"
@@ -138,6 +138,41 @@ def test_signature_tree_loses_no_pair():
     assert Forest(3).join(0, 2)
 
 
+@pytest.mark.parametrize("limit", [1200, 5000])
+def test_signature_tree_loses_no_pair_of_nodes_across_widths(limit):
+    rng = np.random.default_rng(limit)
+    nodes = []
+    for _ in range(12):
+        text = rng.integers(0, 2**63, limit * 2, dtype=np.uint64)
+        sizes = np.cumprod([limit * rng.uniform(0.7, 0.99)] + [rng.uniform(1.01, 1.24)] * 4).astype(int)
+        cut = int(rng.integers(1, 4))
+        nodes += [[np.sort(text[:n]) for n in part] for part in (sizes[:cut], sizes[cut:])]
+    lo, hi = (np.array([f(len(s) for s in node) for node in nodes]) for f in (min, max))
+    maps, extra = [], []
+    for node in nodes:  # as ngram_join._signatures makes them
+        own = [bitmap(s) for s in node]
+        extra.append([max(c) for c in zip(*[collisions(len(s), m) for s, m in zip(node, own)])])
+        width = min(map(len, own))
+        maps.append(np.bitwise_or.reduce([fold(m, width) for m in own]))
+    seen = set()
+    traverse_all(lo, hi, maps, extra, np.arange(len(nodes)), 80, lambda i, j: seen.add((min(i, j), max(i, j))), lambda x, y: False)
+    true = {(i, j) for i in range(len(nodes)) for j in range(i + 1, len(nodes)) if any(ngram_join.similar(a, b, 80) for a in nodes[i] for b in nodes[j])}
+    assert true and true <= seen
+
+
+@pytest.mark.parametrize("sizes", [(1100, 1300, 1600), (4700, 5300, 6500)])
+def test_jaccard_of_growing_texts_across_widths(spark, sizes):
+    rows = []
+    for k in range(8):  # whichever version heads the star, the others are joined
+        words = [f"v{k}w{i}" for i in range(sizes[-1] + 4)]
+        rows += [(10 * k + i, " ".join(words[: n + 4])) for i, n in enumerate(sizes)]
+    got = ngram_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = {}
+    for k in range(0, len(rows), len(sizes)):
+        want |= components(rows[k : k + len(sizes)])
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+
+
 def test_connected_components(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 200), (200, 300), (7, 7), (300, 100)] + [(500, k) for k in range(501, 560)]
     got = {r.node: r.label for r in connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}

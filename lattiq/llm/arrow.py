@@ -18,6 +18,14 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(BATCH_ROWS))
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that *df* does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def map_batches(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, list] | None], schema: str) -> DataFrame:
     """Apply *fn* to each batch as a dict of Python lists; it returns a dict of columns or None."""
     small_batches(df.sparkSession)

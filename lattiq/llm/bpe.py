@@ -2,10 +2,10 @@
 
 A word is held as two contiguous arrays, its parts and the merge ranks of adjacent
 parts. The least rank is looked for by a scan, the boundary there is deleted, and the
-two ranks beside it are refreshed, until no adjacent pair has a rank. Words of one
-byte length are processed together: one numpy row is one word's array, so a scan, a
-deletion and a refresh each serve thousands of words. Only words longer than
-``SHORT`` bytes, for which repeated scans would be quadratic, use a heap instead.
+two ranks beside it are refreshed, until no adjacent pair has a rank. Words of like
+byte length are processed together: one numpy column is one word's array, padded at its
+end, so a scan, a deletion and a refresh each serve thousands of words. Only words longer
+than ``SHORT`` bytes, for which repeated scans would be quadratic, use a heap instead.
 
 Words that a worker has met before come from a bounded cache. The vocabulary is read
 from a tokenizer file inside the tasks; its path is a parameter.
@@ -20,6 +20,7 @@ from __future__ import annotations
 import hashlib
 import heapq
 import json
+import re
 from functools import lru_cache
 
 import numpy as np
@@ -30,9 +31,19 @@ from lattiq.llm.arrow import map_batches
 
 #: Fixed by the vocabulary: how a text is cut into words before merging.
 WORDS = regex.compile(r""" ?\p{L}+|'(?:[stmd]|re|ve|ll)| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""")
+# The same cut for texts of ASCII, Latin letters and plain punctuation, whose classes are spelled out: the
+# standard library's engine is faster, and FOREIGN finds the texts that it does not serve.
+_LETTER, _DIGIT = r"A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", "0-9"
+_SPACE = r"\t-\r\x20\x85\xa0"
+FOREIGN = re.compile(r"[^\x00-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f\u2010-\u2027\u20ac]")
+LATIN_WORDS = re.compile(
+    rf" ?[{_LETTER}]+|'(?:[stmd]|re|ve|ll)| ?[{_DIGIT}]+| ?[^{_SPACE}{_LETTER}{_DIGIT}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+"
+)
 SHORT = 64
+#: Words are padded to the next of these byte lengths.
+WIDTHS = (2, 4, 6, 8, 10, 12, 16, 24, 32, 48, SHORT)
 _NONE = np.int32(2**31 - 1)
-_CACHED = 300_000
+_CACHED = 500_000
 
 
 def default_path() -> str:
@@ -48,6 +59,41 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in printable else chr(next(spare)) for b in range(256)]
 
 
+class _PairTable:
+    """Positions of 64-bit keys in an open hash table; lookups of whole arrays."""
+
+    def __init__(self, keys: np.ndarray):
+        self.bits = max(4, int(len(keys) * 4 - 1).bit_length())
+        self.keys = np.full(1 << self.bits, -1, np.int64)
+        self.value = np.full(1 << self.bits, _NONE, np.int32)
+        left, slot, self.tries = np.arange(len(keys)), self._slots(keys), 0
+        while len(left):
+            free = self.keys[slot[left]] < 0
+            first = left[free][np.unique(slot[left][free], return_index=True)[1]]  # one key a free slot
+            self.keys[slot[first]], self.value[slot[first]] = keys[first], first
+            left = left[self.keys[slot[left]] != keys[left]]
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            self.tries += 1
+
+    def _slots(self, keys: np.ndarray) -> np.ndarray:
+        return ((keys.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The position of each key, or _NONE."""
+        slot = self._slots(keys)
+        found = self.keys[slot]
+        out = np.where(found == keys, self.value[slot], _NONE)
+        left = np.flatnonzero((found != keys) & (found >= 0))
+        for _ in range(self.tries - 1):
+            if not len(left):
+                break
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+            found = self.keys[slot[left]]
+            out[left] = np.where(found == keys[left], self.value[slot[left]], _NONE)
+            left = left[(found != keys[left]) & (found >= 0)]
+        return out
+
+
 class ByteBpe:
     """Encoder and decoder for one byte-level BPE vocabulary file."""
 
@@ -69,46 +115,57 @@ class ByteBpe:
         pairs = [m if isinstance(m, list) else m.split(" ") for m in model["merges"]]
         left, right = (np.array([vocab[m[k]] for m in pairs], np.int64) for k in (0, 1))
         self.merged = np.array([vocab[a + b] for a, b in pairs] + [0], np.int32)  # by rank
-        keys = (left << 32) | right
-        order = np.argsort(keys, kind="stable")
-        self.keys, self.rank_of_key = keys[order], order.astype(np.int32)
+        self.pairs = _PairTable((left << 32) | right)
+        byte_left, byte_right = np.repeat(self.byte_id, 256), np.tile(self.byte_id, 256)
+        self.byte_ranks = np.append(self.ranks(byte_left, byte_right), _NONE)  # by pair of bytes; the last is padding
         self.cache: dict[str, bytes] = {}
 
     def ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Merge ranks of pairs of parts; _NONE where a pair does not merge."""
-        want = (left.astype(np.int64) << 32) | right
-        at = np.minimum(np.searchsorted(self.keys, want), len(self.keys) - 1)
-        return np.where(self.keys[at] == want, self.rank_of_key[at], _NONE)
-
-    def encode_equal(self, words: list[bytes]) -> list[bytes]:
-        """Ids, as little-endian bytes, of short words that have one byte length."""
-        n, size = len(words), len(words[0])
-        parts = self.byte_id[np.frombuffer(b"".join(words), np.uint8).reshape(n, size)]
-        rank = self.ranks(parts[:, :-1], parts[:, 1:]) if size > 1 else np.empty((n, 0), np.int32)
-        out: list[bytes] = [b""] * n
+        return self.pairs.find((left.astype(np.int64) << 32) | right)
+
+    def encode_like(self, words: list[bytes], width: int) -> list[bytes]:
+        """Ids, as little-endian bytes, of words that have at most *width* bytes."""
+        n = len(words)
+        sizes = np.fromiter(map(len, words), np.int64, n)
+        owner = np.repeat(np.arange(n), sizes)
+        raw = np.zeros((width, n), np.uint8)
+        raw[np.arange(len(owner)) - np.repeat(np.cumsum(sizes) - sizes, sizes), owner] = np.frombuffer(b"".join(words), np.uint8)
+        pad = np.arange(width)[:, None] >= sizes
+        parts = np.where(pad, np.int32(-1), self.byte_id[raw])  # a column a word
+        pair = raw[:-1].astype(np.int64) * 256 + raw[1:]
+        rank = self.byte_ranks[np.where(pad[1:], 65536, pair)]
+        final = np.full((n, width), -1, np.int32)
         place = np.arange(n)
-        while True:
-            at = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(place), np.int64)
-            row = np.arange(len(place))
-            least = rank[row, at] if rank.shape[1] else np.full(len(place), _NONE)
+        while len(place):
+            least, at = np.full(len(place), _NONE), np.zeros(len(place), np.int64)
+            for k, row in enumerate(rank):
+                less = row < least
+                np.copyto(least, row, where=less)
+                at[less] = k
             done = least == _NONE
             if done.any():
-                for i, ids in zip(place[done], parts[done].astype("<u4"), strict=True):
-                    out[i] = ids.tobytes()
+                final[place[done], : len(parts)] = parts[:, done].T
                 go = ~done
-                parts, rank, at, least, place = parts[go], rank[go], at[go], least[go], place[go]
+                parts, rank, at, least, place = parts[:, go], rank[:, go], at[go], least[go], place[go]
                 if not len(place):
-                    return out
-                row = np.arange(len(place))
-            parts[row, at] = self.merged[least]
-            keep = np.arange(parts.shape[1] - 1)
-            parts = np.take_along_axis(parts, keep + (keep > at[:, None]), axis=1)  # the boundary after `at` goes
-            keep = keep[:-1]
-            rank = np.take_along_axis(rank, keep + (keep >= at[:, None]), axis=1)
-            for beside in (at - 1, at):
-                ok = (beside >= 0) & (beside < rank.shape[1])
-                r, c = row[ok], beside[ok]
-                rank[r, c] = self.ranks(parts[r, c], parts[r, c + 1])
+                    break
+            col, new = np.arange(len(place)), self.merged[least]
+            for k in range(1, len(parts) - 1):  # the boundary after `at` goes
+                right = at < k
+                np.copyto(parts[k], parts[k + 1], where=right)
+                np.copyto(rank[k - 1], rank[k], where=at < k - 1)
+            parts, rank = parts[:-1], rank[:-1]
+            parts[at, col] = new
+            ok = np.flatnonzero(at > 0)
+            rank[at[ok] - 1, ok] = self.ranks(parts[at[ok] - 1, ok], new[ok])
+            ok = np.flatnonzero(at < len(rank))
+            after = parts[at[ok] + 1, ok]
+            rank[at[ok], ok] = np.where(after < 0, _NONE, self.ranks(new[ok], np.maximum(after, 0)))
+        held = final >= 0
+        ends = np.cumsum(held.sum(axis=1)) * 4
+        flat = final[held].astype("<u4").tobytes()
+        return [flat[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def encode_long(self, word: bytes) -> bytes:
         """Ids of one long word: the same merges, least rank and leftmost first, from a heap."""
@@ -134,48 +191,56 @@ class ByteBpe:
 
     def learn(self, words: set[str]) -> None:
         """Encode the words that the cache does not hold."""
-        new = [w for w in words if w not in self.cache]
+        new = list(words.difference(self.cache))
         if len(self.cache) + len(new) > _CACHED:
             self.cache.clear()
             new = list(words)
-        by_size: dict[int, list[tuple[str, bytes]]] = {}
-        for w in new:
-            b = w.encode("utf-8", "surrogatepass")
-            if len(b) > SHORT:
-                self.cache[w] = self.encode_long(b)
-            else:
-                by_size.setdefault(len(b), []).append((w, b))
-        for group in by_size.values():
+        raw = [w.encode("utf-8", "surrogatepass") for w in new]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        for i in np.flatnonzero(sizes > SHORT).tolist():
+            self.cache[new[i]] = self.encode_long(raw[i])
+        widths = np.searchsorted(WIDTHS, sizes)
+        for no, width in enumerate(WIDTHS):
+            group = np.flatnonzero(widths == no)
             for k in range(0, len(group), 8192):
-                part = group[k : k + 8192]
-                self.cache.update(zip([w for w, _ in part], self.encode_equal([b for _, b in part]), strict=True))
+                part = group[k : k + 8192].tolist()
+                self.cache.update(zip(map(new.__getitem__, part), self.encode_like(list(map(raw.__getitem__, part)), width), strict=True))
 
-    def _cut(self, text: str) -> list[str | bytes]:
-        """Words of a text, with the ids of added tokens between them."""
+    def _cut(self, text: str) -> tuple[list[str], list[tuple[int, bytes]]]:
+        """Words of a text, and the ids of added tokens with the number of words before each."""
+        words = LATIN_WORDS if not FOREIGN.search(text) else WORDS
         if not self.added_at or not self.added_at.search(text):
-            return WORDS.findall(text)
-        out, at = [], 0
+            return words.findall(text), []
+        out: list[str] = []
+        added, at = [], 0
         for m in self.added_at.finditer(text):
-            out += WORDS.findall(text[at : m.start()])
-            out.append(self.added[m[0]])
+            out += words.findall(text[at : m.start()])
+            added.append((len(out), self.added[m[0]]))
             at = m.end()
-        return out + WORDS.findall(text[at:])
+        return out + words.findall(text[at:]), added
 
     def encode_batch(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         out, todo, held = [], [], 0
         for text in texts:
             todo.append(self._cut(text or ""))
-            held += len(todo[-1])
-            if held > 100_000:
+            held += len(todo[-1][0])
+            if held > 200_000:
                 out += self._join(todo)
                 todo, held = [], 0
         return out + self._join(todo)
 
-    def _join(self, cut: list[list[str | bytes]]) -> list[bytes]:
-        self.learn({w for words in cut for w in words if type(w) is str})
-        known = self.cache
-        return [b"".join([known[w] if type(w) is str else w for w in words]) for words in cut]
+    def _join(self, cut: list[tuple[list[str], list[tuple[int, bytes]]]]) -> list[bytes]:
+        self.learn(set().union(*(words for words, _ in cut)))
+        known, out = self.cache.__getitem__, []
+        for words, added in cut:
+            parts, at = [], 0
+            for n, ids in added:
+                parts += [*map(known, words[at:n]), ids]
+                at = n
+            parts += map(known, words[at:])
+            out.append(b"".join(parts))
+        return out
 
     def decode(self, ids: bytes) -> str:
         """The text of ids, added tokens included."""

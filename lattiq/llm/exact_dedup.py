@@ -18,6 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lattiq.llm.arrow import unused
 from lattiq.session import materialize, shuffle_partitions
 
 #: Fixed by the contract: the white space that does not count.
@@ -32,7 +33,7 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", run
     """One narrow row per document: id, digest, verification length, size, and its run."""
     norm = normalised(F.col(text_col))
     return docs.select(
-        F.col(id_col).alias("doc_id"),
+        F.col(id_col).cast("long").alias("doc_id"),
         F.unhex(F.sha2(norm, 256)).alias("digest"),
         F.octet_length(norm).alias("norm_bytes"),
         F.char_length(F.coalesce(F.col(text_col), F.lit(""))).alias("n_chars"),
@@ -49,7 +50,7 @@ def merge_tree(rows: DataFrame, runs: int, fan_in: int = 4) -> tuple[DataFrame,
     key = ["digest", "norm_bytes"]
     base = (
         rows.groupBy(*key, "run")
-        .agg(F.count(F.lit(1)).alias("n"), _best(F.struct("n_chars", (-F.col("doc_id")).alias("neg_id"))))
+        .agg(F.count(F.lit(1)).alias("n"), _best(F.struct("n_chars", F.bitwise_not(F.col("doc_id").cast("long")).alias("reversed_id"))))
         .sortWithinPartitions("run", "digest")
     )
     base = materialize(base, "digest-runs")
@@ -74,7 +75,7 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = materialize(digests(docs, id_col, text_col, runs), "digests")
     base, winners = merge_tree(rows, runs, fan_in)
     key = ["digest", "norm_bytes"]
-    won = winners.select(*key, F.col("n").alias("group_size"), (-F.col("best.neg_id")).alias("keep_id"))
+    won = winners.select(*key, F.col("n").alias("group_size"), F.bitwise_not(F.col("best.reversed_id")).alias("keep_id"))
     down = base.select(*key, "run").join(won, key)
     return rows.join(down, [*key, "run"]).select(
         "doc_id",
@@ -89,20 +90,17 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of *docs* that stay, with the columns of *docs*.
 
-    A row stays if its id and digest are those of its group's winner; repeated rows of
-    one id and text count as one.
+    A row stays if its id and digest are those of its group's winner; of repeated rows of
+    one id and text any one stays. Texts are shuffled once, for the join with the winners.
     """
-    kept = (
-        exact_groups(docs, id_col, text_col)
-        .where("kept")
-        .select(F.struct(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")).alias("_won"))
-        .distinct()
-    )
-    own = F.struct(F.col(f"d.`{id_col}`").alias("id"), F.sha2(normalised(F.col(f"d.`{text_col}`")), 256).alias("sha"))
-    return (
-        docs.alias("d")
-        .join(kept.alias("k"), own.eqNullSafe(F.col("k._won")), "inner")
-        .groupBy("k._won")
-        .agg(F.first(F.struct("d.*")).alias("_row"))
-        .select("_row.*")
-    )
+    won, times = unused(docs, "won"), unused(docs, "times")
+    named = F.struct(F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha"))
+    kept = materialize(exact_groups(docs, id_col, text_col).where("kept").groupBy(named.alias(won)).agg(F.count(F.lit(1)).alias(times)), "winners")
+    own = F.struct(F.col(id_col).cast("long").alias("id"), F.sha2(normalised(F.col(text_col)), 256).alias("sha"))
+    stay = docs.join(kept.where(F.col(times) == 1).select(won), own == F.col(won), "left_semi")
+    repeated = kept.where(F.col(times) > 1).select(won)
+    if repeated.isEmpty():
+        return stay
+    row = unused(docs, "row")
+    first = docs.join(repeated, own == F.col(won)).groupBy(won).agg(F.first(F.struct(*docs.columns)).alias(row))
+    return stay.unionByName(first.select(f"{row}.*"))

@@ -5,7 +5,7 @@ partition also packs it by best fit, largest piece first. Nearly full bins are f
 bins with room left are the items of the next round, where groups of former partitions
 meet and are packed by best fit again. A round has as many groups as its items need at
 ``group_items`` each, so that no task grows with the corpus, and the rounds end when one
-group has seen all that is left or when packing no longer saves a bin.
+group has seen all that is left or when a round saves no bin.
 
 Defined results: null text counts as empty and is the end token alone; longer documents
 give a shorter first piece and full ones after it; repeated rows are packed as often
@@ -14,6 +14,7 @@ as they occur; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -110,12 +111,12 @@ def _repack(capacity: int):
     return run
 
 
-def merge_rounds(bins: DataFrame, capacity: int, slack: int, group_items: int, max_rounds: int) -> DataFrame | None:
+def merge_rounds(bins: DataFrame, capacity: int, slack: int, group_items: int) -> DataFrame | None:
     """(bin, into, shift) for every bin that later rounds have moved, or None."""
     moved: DataFrame | None = None
     items = bins.where(F.col("fill") < capacity - slack)
     n = items.count()
-    for no in range(max_rounds):
+    for no in itertools.count():
         groups = max(1, -(-n // group_items))
         if n < 2:
             break
@@ -131,10 +132,12 @@ def merge_rounds(bins: DataFrame, capacity: int, slack: int, group_items: int, m
                 ),
                 "packing-moves",
             )
-        items = step.groupBy(F.col("into").alias("bin")).agg(F.sum("fill").alias("fill")).where(F.col("fill") < capacity - slack)
-        before, n = n, items.count()
-        if groups == 1 or n > 0.98 * before:
+        filled = step.groupBy(F.col("into").alias("bin")).agg(F.sum("fill").alias("fill"))
+        items = filled.where(F.col("fill") < capacity - slack)
+        bins_left, left = filled.agg(F.count(F.lit(1)), F.count_if(F.col("fill") < capacity - slack)).first()
+        if groups == 1 or bins_left == n:
             break
+        n = left
     return moved
 
 
@@ -144,9 +147,8 @@ def pack(
     path: str | None = None,
     id_col: str = "doc_id",
     text_col: str = "text",
-    slack: int = 2,
+    slack: int = 0,
     group_items: int = 100_000,
-    max_rounds: int = 8,
 ) -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset.
 
@@ -155,7 +157,7 @@ def pack(
     """
     pieces = materialize(encode_and_pack(docs, capacity, path or bpe.default_path(), id_col, text_col), "pieces")
     bins = pieces.groupBy("bin").agg(F.sum("length").alias("fill"))
-    moved = merge_rounds(bins, capacity, slack, group_items, max_rounds)
+    moved = merge_rounds(bins, capacity, slack, group_items)
     out = ["doc_id", "piece", "start", "length", "ids_crc32"]
     if moved is None:
         return pieces.select(*out, F.col("bin").alias("sequence_id"), F.col("bin_offset").alias("offset"))

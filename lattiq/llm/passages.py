@@ -12,7 +12,7 @@ two keys for each window length. The steps:
    that have it. Equal fragments are collapsed before they meet.
 4. A kernel, given by the operator, decides the windows of each anchor's fragments.
    An anchor with very many fragments is not gathered: its windows are dealt by their own
-   64-bit hashes to as many groups as it needs, and equal hashes are counted there.
+   hashes to as many groups as it needs, and windows that agree in 128 bits are counted there.
 5. Window verdicts go back to their documents.
 """
 
@@ -32,6 +32,7 @@ from lattiq.session import materialize, shuffle_partitions
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15 | 1)
 _INVERSE = _U(pow(int(_BASE), -1, 1 << 64))
+_OTHER = _U(0xD6E8FEB86659FD93)
 _SEGMENT = 1 << 18
 _POWERS: dict[str, np.ndarray] = {}
 
@@ -126,7 +127,7 @@ def _fragments(docs: DataFrame, win: Windows, hot: int) -> DataFrame:
     """Per run of windows with a recurring anchor: its content, or, under a hot anchor, its windows' hashes."""
 
     def apply(rows: dict) -> dict:
-        out: dict[str, list] = {k: [] for k in ("key", "doc_id", "anchor", "start", "hash", "content", "hashes", "deal", "at")}
+        out: dict[str, list] = {k: [] for k in ("key", "doc_id", "anchor", "start", "hash", "content", "hashes", "again", "deal", "at")}
         for key, doc_id, text, wanted in zip(rows["key"], rows["doc_id"], rows["text"], rows["wanted"], strict=True):
             times = {w["anchor"]: w["times"] for w in wanted}
             units, content = win.read(text or "")
@@ -137,15 +138,17 @@ def _fragments(docs: DataFrame, win: Windows, hot: int) -> DataFrame:
                     is_hot = times[v] > hot
                     part = content(s + a, s + b - 1 + win.size)
                     name = int.from_bytes(hashlib.blake2b(part, digest_size=8).digest(), "little", signed=True)
-                    hashes = gram_hashes(units[s + a : s + b - 1 + win.size], win.size).view(np.int64) if is_hot else None
+                    own = units[s + a : s + b - 1 + win.size]
+                    hashes = gram_hashes(own, win.size).view(np.int64) if is_hot else None
+                    again = gram_hashes(mix(own ^ _OTHER), win.size).view(np.int64) if is_hot else None
                     places = np.flatnonzero(grams[a : b - 1 + win.width].view(np.int64) == v)
                     at = int(places[0]) if len(places) == 1 else -1
-                    row = (key, doc_id, v, s + a, name, None if is_hot else part, hashes, -(-times[v] // hot), at)
+                    row = (key, doc_id, v, s + a, name, None if is_hot else part, hashes, again, -(-times[v] // hot), at)
                     for k, x in zip(out, row, strict=True):
                         out[k].append(x)
         return out
 
-    return map_batches(docs, apply, "key long, doc_id long, anchor long, start long, hash long, content binary, hashes array<long>, deal int, at int")
+    return map_batches(docs, apply, "key long, doc_id long, anchor long, start long, hash long, content binary, hashes array<long>, again array<long>, deal int, at int")
 
 
 Kernel = Callable[[list[int], list[bytes], list[int], list[int], list[int]], list[list[tuple[int, int, int]]]]
@@ -189,32 +192,34 @@ def _decide(parts: DataFrame, kernel: Kernel, batch_bytes: int) -> DataFrame:
 
 
 def _spread(runs: DataFrame) -> DataFrame:
-    """Verdicts on the distinct runs (anchor, hash, hashes, doc_id, times, deal) of hot anchors.
+    """Verdicts on the distinct runs (anchor, hash, hashes, again, doc_id, times, deal) of hot anchors.
 
     A run is dealt to ``deal`` parts by its windows' hashes, so equal windows of an anchor
     meet in one group, and a group has about as many windows as an ordinary anchor's.
     """
     parts = runs.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
-    pick = F.filter(F.transform("hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i"))), lambda x: F.pmod(x["h"], F.col("deal")) == F.col("part"))
+    windows = F.transform(F.arrays_zip("hashes", "again"), lambda x, i: F.struct(x["hashes"].alias("h"), x["again"].alias("g"), i.alias("i")))
+    pick = F.filter(windows, lambda x: F.pmod(x["h"], F.col("deal")) == F.col("part"))
     parts = parts.select("anchor", "part", "hash", "doc_id", "times", pick.alias("w"))
-    parts = parts.select("anchor", "part", "hash", "doc_id", "times", F.transform("w", lambda x: x["h"]).alias("h"), F.transform("w", lambda x: x["i"]).alias("i"))
+    parts = parts.select("anchor", "part", "hash", "doc_id", "times", *[F.col("w")[c].alias(c) for c in "hgi"])
     n = shuffle_partitions(runs.sparkSession)
     dealt = parts.where(F.size("h") > 0).repartition(n, "anchor", "part").sortWithinPartitions("anchor", "part")
 
     def flush(rows: list[tuple]) -> pa.RecordBatch:
         sizes = [len(r[5]) for r in rows]
-        hashes = np.concatenate([np.array(r[5], np.int64) for r in rows])
+        hashes, again = (np.concatenate([np.array(r[k], np.int64) for r in rows]) for k in (5, 6))
         docs = np.repeat(np.array([r[3] for r in rows], np.int64), sizes)
         times = np.repeat(np.array([r[4] for r in rows], np.int64), sizes)
-        order = np.lexsort((docs, hashes))
-        first = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1])))
+        order = np.lexsort((docs, again, hashes))
+        differ = [x[order][1:] != x[order][:-1] for x in (hashes, again)]
+        first = np.flatnonzero(np.concatenate(([True], differ[0] | differ[1])))
         lengths = np.diff(np.append(first, len(order)))
         least, total = np.empty(len(order), np.int64), np.empty(len(order), np.int64)
         least[order] = np.repeat(docs[order][first], lengths)
         total[order] = np.repeat(np.add.reduceat(times[order], first), lengths)
         marks, at = [], 0
         for r, size in zip(rows, sizes, strict=True):
-            marks.append([(i, i, d) for i, d, t in zip(r[6], least[at : at + size].tolist(), total[at : at + size].tolist(), strict=True) if t > 1])
+            marks.append([(i, i, d) for i, d, t in zip(r[7], least[at : at + size].tolist(), total[at : at + size].tolist(), strict=True) if t > 1])
             at += size
         return _mark_batch([r[0] for r in rows], [r[2] for r in rows], marks)
 
@@ -262,15 +267,16 @@ def remove_repeats(
     placed = profile.select("key", "doc_id", "n", "sha").join(groups, "sha", "left")
     twin = F.col("doc_id") > F.col("first.doc_id") if earlier_only else F.col("copies") > 1
     whole = F.coalesce(twin, F.lit(False)) & (F.col("n") >= win.size)
-    others = placed.where(F.col("first").isNotNull() & (F.col("key") != F.col("first.key"))).select("key").distinct()
+    own = ["doc_id", "key"]  # an id and a hash of it with the text name a row
+    others = placed.where(F.col("first").isNotNull() & (F.struct(*own) != F.col("first"))).select(*own).distinct()
     # anchors that recur
-    stands = profile.where(F.col("n") >= win.size).join(others, "key", "left_anti")
-    anchors = stands.select("key", F.explode("anchors").alias("a")).select("key", "a.anchor", "a.times").distinct()
+    stands = profile.where(F.col("n") >= win.size).join(others, own, "left_anti")
+    anchors = stands.select(*own, F.explode("anchors").alias("a")).select(*own, "a.anchor", "a.times").distinct()
     recurring = anchors.groupBy("anchor").agg(F.sum("times").cast("int").alias("times")).where("times > 1")
-    wanted = anchors.select("key", "anchor").join(recurring, "anchor").groupBy("key").agg(F.collect_list(F.struct("anchor", "times")).alias("wanted"))
-    pieces = materialize(_fragments(keyed.join(wanted, "key"), win, hot), "passage-fragments")
+    wanted = anchors.select(*own, "anchor").join(recurring, "anchor").groupBy(*own).agg(F.collect_list(F.struct("anchor", "times")).alias("wanted"))
+    pieces = materialize(_fragments(keyed.join(wanted, own), win, hot), "passage-fragments")
     # ordinary anchors: the kernel decides; hot ones: their windows are dealt to several groups. Equal runs are one
-    first = [F.first(c).alias(c) for c in ("content", "hashes", "deal", "at")]
+    first = [F.first(c).alias(c) for c in ("content", "hashes", "again", "deal", "at")]
     parts = pieces.groupBy("anchor", "hash").agg(*first, F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).cast("int").alias("times"))
     parts = materialize(parts, "passage-parts")
     decided = _decide(parts.where("content IS NOT NULL").select("anchor", "hash", "content", "doc_id", "times", "at"), kernel, batch_bytes)
@@ -279,10 +285,10 @@ def remove_repeats(
     if earlier_only:
         marks = marks.withColumn("marks", F.filter("marks", lambda m: m["doc"] < F.col("doc_id")))
     shifted = F.transform("marks", lambda m: F.struct((F.col("start") + m["lo"]).alias("lo"), (F.col("start") + m["hi"]).alias("hi")))
-    gone = marks.where(F.size("marks") > 0).select("key", shifted.alias("gone")).groupBy("key").agg(F.flatten(F.collect_list("gone")).alias("gone"))
+    gone = marks.where(F.size("marks") > 0).select(*own, shifted.alias("gone")).groupBy(*own).agg(F.flatten(F.collect_list("gone")).alias("gone"))
 
     def cut(rows: dict) -> dict:
-        out: dict[str, list] = {"key": rows["key"], "n_removed": [], "n_spans": [], "cut_sha": []}
+        out: dict[str, list] = {"doc_id": rows["doc_id"], "key": rows["key"], "n_removed": [], "n_spans": [], "cut_sha": []}
         for text, gone in zip(rows["text"], rows["gone"], strict=True):
             units, _ = win.read(text or "")
             edge = np.zeros(len(units) + 1, np.int64)
@@ -294,11 +300,11 @@ def remove_repeats(
             out["cut_sha"].append(hashlib.sha256(join_kept(text or "", removed)).hexdigest())
         return out
 
-    touched = keyed.join(gone, "key").dropDuplicates(["key"])
-    trimmed = map_batches(touched.select("key", "text", "gone"), cut, "key long, n_removed long, n_spans long, cut_sha string")
+    touched = keyed.join(gone, own).dropDuplicates(own)
+    trimmed = map_batches(touched.select(*own, "text", "gone"), cut, "doc_id long, key long, n_removed long, n_spans long, cut_sha string")
     none = hashlib.sha256(b"").hexdigest()
     nothing = F.lit(0).cast("long")
-    return placed.withColumn("whole", whole).join(trimmed, "key", "left").select(
+    return placed.withColumn("whole", whole).join(trimmed, own, "left").select(
         F.when(F.col("doc_id") < never, F.col("doc_id")).alias("doc_id"),
         "n",
         F.when(F.col("whole"), F.col("n")).otherwise(F.coalesce("n_removed", nothing)).alias("n_removed"),

@@ -1,19 +1,23 @@
 """Personal data: seed detectors plus bootstrapped contextual extraction.
 
-One pass over the texts finds *seeds* with the base detectors and *candidates*, tokens
-that have the look of an identifier but fail them (a phone number without a plus sign,
-an address without a domain, a card number with a wrong digit). Both carry lexical
-patterns, the words around them. Spark then works on the graph of distinct
-(pattern, instance) edges. A round scores each pattern for each kind by the share of its
-instances that are believed to be of the kind, keeps patterns with enough support, and
-scores instances by noisy-or over their patterns; after ``rounds`` rounds instances
-above ``min_score`` whose shape allows the kind are found. Copies collapse into
-the same edges, so one hot passage adds nothing.
+One pass over the texts finds *seeds* and *candidates*. Seeds are what the base detectors
+match, and values of assignments that look drawn at random (seeds of the kind *secret*, which
+is no base kind). Candidates have the look of an identifier but fail the detectors (a phone
+number without a plus sign, an address without a domain, a card number with a wrong digit,
+a short password). Both carry lexical patterns: the words around them, the beginning of
+their line, and the name of the field that they are the value of. Spark then works on the
+graph of distinct (pattern, instance) edges. A round scores each pattern for each kind as
+s / (s + c + 1), with s instances believed to be of the kind and c that speak against it,
+as their look rules the kind out or they are believed to be of another one; candidates of
+which nothing is known yet count neither way. Patterns with enough support score instances
+by noisy-or; after ``rounds`` rounds instances above ``min_score`` whose look allows the kind
+are found. Copies collapse into the same edges, so one hot passage adds nothing.
 
 Defined results: null text counts as empty; added spans never overlap base spans and
-never replace them; an instance believed to be of two kinds takes the higher score,
-then the kind listed first; repeated rows get the same spans; an empty table gives an
-empty result; positions count code points, ends are exclusive.
+never replace them; a secret is added only where a pattern says so, never for its look;
+an instance believed to be of two kinds takes the higher score, then the kind listed
+first; repeated rows get the same spans; an empty table gives an empty result;
+positions count code points, ends are exclusive.
 """
 
 from __future__ import annotations
@@ -22,10 +26,11 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lattiq.llm.arrow import map_batches
+from lattiq.llm.arrow import map_batches, unused
 from lattiq.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 
 # Fixed by the contract. A look-behind or a possessive quantifier only spares starts
 # that cannot differ from the leftmost match.
@@ -35,7 +40,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_NUMBERS = re.compile(r"(?<![0-9])[0-9][0-9()./\x20-]{5,}[0-9]")
+_NUMBERS = re.compile(r"(?<![0-9A-Za-z])[0-9][0-9()./\x20-]{5,}[0-9](?![0-9A-Za-z])")
+_FIELD = r"([A-Za-z][A-Za-z_-]{1,29})\x20?[:=]\x20?[\"']?"
+_ASSIGNED = re.compile(_FIELD + r"([^\s\"'<>,;/][^\s\"'<>,;]{5,199})")
+_FIELD_BEFORE = re.compile(_FIELD + "$")
+_RANDOM = re.compile(r"[A-Za-z0-9+/=_-]{16,}")
+_LETTER = re.compile(r"[A-Za-z]")
 _GROUPS = re.compile(r"(?<![0-9A-Za-z.:])[0-9A-Fa-f]{1,4}+(?:[.:][0-9A-Fa-f]{1,4}+){3,}+(?![0-9A-Za-z])")
 _DIGIT = re.compile(r"[0-9]")
 _EDGE = ".,;:!?\"'()[]{}<>*#&%$=|"
@@ -102,10 +112,15 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
         at = text.find("@", max(b, at + 1))
     if _DIGIT.search(text):
         found |= {m.span() for m in _NUMBERS.finditer(text)} | {m.span() for m in _GROUPS.finditer(text)}
+        if "=" in text or ":" in text:
+            found |= {(m.start(2), m.start(2) + len(m[2].rstrip(_EDGE))) for m in _ASSIGNED.finditer(text) if _DIGIT.search(m[2])}
     edges = sorted((s, e) for _, s, e in taken)
-    free, reached = [], -1
-    for a, b in sorted(found):
-        if a >= reached and not any(s < b and a < e for s, e in edges):
+    free, reached, k, far = [], -1, 0, -1
+    for a, b in sorted(found, key=lambda x: (x[0], -x[1])):
+        while k < len(edges) and edges[k][0] < b:  # `far`: how far the base spans that begin before b reach
+            far = max(far, edges[k][1])
+            k += 1
+        if a >= reached and far <= a < b:
             free.append((a, b))
             reached = b
     return free
@@ -123,22 +138,34 @@ def shapes(value: str) -> list[str]:
         ok.append("card")
     if 7 <= digits <= 15:
         ok.append("phone")
+    if digits and _LETTER.search(value) and len(value) >= 6:
+        return ["secret"] if ok != ["ip"] else ["ip", "secret"]
     return ok
 
 
+def looks_random(value: str) -> bool:
+    """Long, of letters and digits in numbers: the look of a key or a token."""
+    return bool(_RANDOM.fullmatch(value)) and len(_DIGIT.findall(value)) >= 4 and len(_LETTER.findall(value)) >= 4
+
+
 def patterns(text: str, start: int, end: int) -> list[str]:
-    """Lexical patterns of a mention: two words before it, and one word on each side."""
-    before = text[max(0, start - 80) : start].lower().split()[-2:]
-    after = text[end : end + 40].lower().split()[:1]
+    """Lexical patterns of a mention: its field's name, two words before it, one on each side, and what its line begins with."""
+    left, right = text[max(0, start - 80) : start].lower(), text[end : end + 40].lower()
+    before, after = left.split()[-2:], right.split()[:1]
     out = []
+    if field := _FIELD_BEFORE.search(left):
+        out.append("field " + field[1])
     if len(before) == 2:
         out.append("before " + " ".join(before))
     if before and after:
         out.append(f"around {before[-1]} {after[0]}")
+    head, newline, line = left.rpartition("\n")
+    if (newline or start <= 80) and line.strip():
+        out.append("line " + line.strip())
     return out
 
 
-_MENTION = "struct<kind:string,s:int,e:int,inst:string,pats:array<string>,kinds:array<string>>"
+_MENTION = "struct<kind:string,seed:string,s:int,e:int,inst:string,pats:array<string>,kinds:array<string>>"
 
 
 def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -152,8 +179,9 @@ def mentions(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             spans = [(k, a, b) for k, a, b in base] + [(None, a, b) for a, b in candidates(text, base)]
             out.append(
                 [
-                    {"kind": k, "s": a, "e": b, "inst": (v := text[a:b].lower()), "pats": patterns(text, a, b), "kinds": [k] if k else shapes(v)}
+                    {"kind": k, "seed": k or ("secret" if looks_random(v) else None), "s": a, "e": b, "inst": v.lower(), "pats": patterns(text, a, b), "kinds": [k] if k else shapes(v)}
                     for k, a, b in spans
+                    if (v := text[a:b])
                 ]
             )
         return {"doc_id": rows["doc_id"], "key": rows["key"], "found": out}
@@ -170,23 +198,25 @@ def row_key(doc_id: Column, text: Column) -> Column:
 def bootstrap(found: DataFrame, rounds: int = 3, min_support: int = 3, min_pattern: float = 0.7, min_score: float = 0.8) -> DataFrame:
     """(inst, kind) of identifiers that the base detectors do not see.
 
-    *min_support*: distinct believed instances a pattern needs; *min_pattern*: the share of a
-    pattern's instances it needs; *min_score*: the score an instance needs.
+    *min_support*: distinct believed instances a pattern needs; *min_pattern*: the score a
+    pattern needs; *min_score*: the score an instance needs.
     """
     one = found.select(F.explode("found").alias("m")).select("m.*")
-    edges = materialize(one.select(F.explode("pats").alias("pat"), "inst", "kind", "kinds").distinct(), "pattern-graph")
+    edges = materialize(one.select(F.explode("pats").alias("pat"), "inst", "kind", "seed", "kinds").distinct(), "pattern-graph")
     width = edges.groupBy("pat").agg(F.count_distinct("inst").alias("width"))
     open_edges = edges.where("kind IS NULL").select("pat", "inst", F.explode("kinds").alias("kind")).distinct()
-    seeds = edges.where("kind IS NOT NULL").select("pat", "inst", "kind").distinct()
-    believed = seeds
-    scored = None
+    seeds = edges.where("seed IS NOT NULL").select("pat", "inst", F.col("seed").alias("kind")).distinct()
+    believed, scored = seeds, None
     for _ in range(rounds):
+        unknown = open_edges.join(believed.select("inst").distinct(), "inst", "left_anti").groupBy("pat", "kind").agg(F.count_distinct("inst").alias("unknown"))
+        score = F.col("support") / (F.col("width") - F.coalesce("unknown", F.lit(0)) + 1)
         pats = (
             believed.groupBy("pat", "kind")
             .agg(F.count_distinct("inst").alias("support"))
             .where(F.col("support") >= min_support)
             .join(width, "pat")
-            .select("pat", "kind", (F.col("support") / F.col("width")).alias("p"))
+            .join(unknown, ["pat", "kind"], "left")
+            .select("pat", "kind", score.alias("p"))
             .where(F.col("p") >= min_pattern)
         )
         scored = materialize(
@@ -196,20 +226,26 @@ def bootstrap(found: DataFrame, rounds: int = 3, min_support: int = 3, min_patte
             .where(F.col("score") >= min_score),
             "instance-scores",
         )
-        believed = seeds.unionByName(open_edges.join(scored.select("inst", "kind"), ["inst", "kind"], "left_semi"))
-    order = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind"))
+        believed = seeds.unionByName(open_edges.join(scored.select("inst", "kind"), ["inst", "kind"], "left_semi")).distinct()
+    order = F.array_position(F.array(*map(F.lit, ALL_KINDS)), F.col("kind"))
     return scored.groupBy("inst").agg(F.max_by("kind", F.struct("score", (-order).alias("o"))).alias("kind"))
 
 
 def _added(found: DataFrame, learned: DataFrame) -> DataFrame:
-    """Per key: the added spans."""
-    free = found.select("key", F.explode("found").alias("m")).where("m.kind IS NULL").select("key", "m.s", "m.e", "m.inst")
-    return free.join(learned, "inst").groupBy("key").agg(F.collect_set(F.struct("kind", "s", "e")).alias("added"))
+    """Per row: a struct that names it, and the added spans."""
+    free = found.select(_row("doc_id", "key").alias("row"), F.explode("found").alias("m")).where("m.kind IS NULL").select("row", "m.s", "m.e", "m.inst")
+    return free.join(learned, "inst").groupBy("row").agg(F.collect_set(F.struct("kind", "s", "e")).alias("added"))
+
+
+def _row(doc_id: Column | str, key: Column | str) -> Column:
+    """Names a row by its id and its hash; equal structs agree in null ids too."""
+    as_col = [F.col(c) if isinstance(c, str) else c for c in (doc_id, key)]
+    return F.struct(as_col[0].alias("doc_id"), as_col[1].alias("key"))
 
 
 def _joined(spans: Column) -> Column:
     """kind:start:end of all spans, by kind as listed, then start, joined by commas."""
-    order = F.array(*map(F.lit, KINDS))
+    order = F.array(*map(F.lit, ALL_KINDS))
     ranked = F.array_sort(F.transform(spans, lambda x: F.struct(F.array_position(order, x["kind"]).alias("o"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
     return F.array_join(F.transform(ranked, lambda x: F.concat_ws(":", x["kind"], x["s"], x["e"])), ",")
 
@@ -220,11 +256,11 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
     added = _added(found, bootstrap(found, **options))
     seeds = F.transform(F.filter("found", lambda m: m["kind"].isNotNull()), lambda m: F.struct(m["kind"].alias("kind"), m["s"].alias("s"), m["e"].alias("e")))
     none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
-    return found.join(added, "key", "left").select("doc_id", "key", seeds.alias("base"), F.coalesce("added", none).alias("added"))
+    return found.join(added, _row("doc_id", found["key"]) == F.col("row"), "left").select("doc_id", "key", seeds.alias("base"), F.coalesce("added", none).alias("added"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """Per row: doc_id, counts of the base kinds, base_sha256, spans, n_added."""
+    """Per row: doc_id, counts of the base kinds, base_sha256, spans, n_added, n_secret (of those added)."""
     got = find(docs, **options)
     named = F.transform("base", lambda m: m["kind"])
     counts = [(F.size(named) - F.size(F.array_remove(named, k))).cast("long").alias(f"n_{k}") for k in KINDS]
@@ -234,6 +270,7 @@ def report(docs: DataFrame, **options) -> DataFrame:
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
         _joined(F.concat("base", "added")).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
+        F.size(F.filter("added", lambda m: m["kind"] == "secret")).cast("long").alias("n_secret"),
     )
 
 
@@ -241,8 +278,10 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
     """*docs* with every span replaced by its kind in angle brackets; no row goes."""
     found = materialize(mentions(docs, id_col, text_col), "mentions")
     added = _added(found, bootstrap(found, **options))
-    keyed = docs.withColumn("_key", row_key(F.col(id_col), F.col(text_col)))
-    both = keyed.join(added.select(F.col("key").alias("_key"), F.col("added").alias("_added")), "_key", "left").drop("_key")
+    name = unused(docs, "row")
+    named = added.select(F.struct("row", "added").alias(name))
+    own = _row(F.col(id_col), row_key(F.col(id_col), F.col(text_col)))
+    both = docs.join(named, own == F.col(name)["row"], "left").select(*docs.columns, F.col(name)["added"].alias(name))
     at = both.columns.index(text_col)
 
     def run(batches):
@@ -263,8 +302,8 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
     """The text with spans replaced; of overlapping spans the parts join under the first kind."""
     out, at = [], 0
-    for s, e, kind in sorted((s, e, KINDS.index(k)) for k, s, e in spans):
+    for s, e, kind in sorted((s, e, ALL_KINDS.index(k)) for k, s, e in spans):
         if s >= at:
-            out += [text[at:s], f"<{KINDS[kind].upper()}>"]
+            out += [text[at:s], f"<{ALL_KINDS[kind].upper()}>"]
         at = max(at, e)
     return "".join(out) + text[at:]

@@ -322,10 +322,48 @@ def test_language_id_on_held_out_documents(spark):
 def test_neighbours_against_brute_force(spark):
     e = table(spark, SF, "embeddings")
     got = ann.search(e, F.col("vec_id") % 100 == 0, rows_per_part=60, sample_rows=500).collect()
-    true = {(r.query_id, r.vec_id) for r in ann.exact_search(e, F.col("vec_id") % 100 == 0).collect()}
+    true = set(exact_search(e, F.col("vec_id") % 100 == 0))
     assert len(got) == len(true) and len({(r.query_id, r.vec_id) for r in got} & true) >= 0.9 * len(true)
 
 
+def exact_search(vectors, is_query, k=10):
+    """Brute force, to measure recall against."""
+    good = vectors.where(ann.usable(F.col("embedding"))).select("vec_id", F.col("embedding").cast("array<double>").alias("v"), is_query.alias("q")).collect()
+    out = []
+    for q in (r for r in good if r.q):
+        near = sorted((float(np.sqrt(((np.array(r.v) - np.array(q.v)) ** 2).sum())), r.vec_id) for r in good if r.vec_id != q.vec_id)
+        out += [(q.vec_id, v) for _, v in near[:k]]
+    return out
+
+
+def test_stages_with_clashing_columns_and_extreme_ids(spark):
+    names = ("_stay", "_key", "_won", "stay", "won", "times", "row", "label", "token")
+    least = -(2**63)
+    text = "one two three four five six seven"
+    rows = [(least, text, *names), (5, text + " ", *names), (5, text + " ", *names), (None, None, *names), (7, "", *names), (8, text + " eight", *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string" + "".join(f", {n} string" for n in names))
+    groups = {(r.doc_id, r.kept, r.keep_id, r.group_size) for r in exact_dedup.exact_groups(df).collect()}
+    assert groups == {(least, False, 5, 3), (5, True, 5, 3), (None, False, 7, 2), (7, True, 7, 2), (8, True, 8, 1)}
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == [5, 7, 8]
+    near = ngram_join.one_of_each(df)
+    assert near.columns == df.columns and {r.doc_id for r in near.collect()} == {least, None, 7, 8}
+
+
+def test_planted_passages_around_the_threshold(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    rows, want = [], {}
+    for i, length in enumerate((60, 399, 400, 401, 700)):
+        passage = word(length)
+        for side in (0, 1):
+            rows.append((2 * i + side, word(50) + "AB"[side] + passage + "CD"[side] + word(60)))
+            want[2 * i + side] = (length if length >= 400 else 0)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.n_removed for r in suffix_dedup.dedup_bytes(df).collect()}
+    assert got == want
+
+
 def test_neighbours_of_awkward_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0, nan]), (5, [1.0, None]), (6, [float("inf"), 1.0]), (7, [2.0, 0.0]), (8, [1.0, 2.0, 3.0]), (100, [1.0, 0.0]), (200, [0.0, 0.0])]

@@ -51,11 +51,67 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert got[101].spans == "" and got[102].spans == "" and got[103].n_added == 0
 
 
+def test_secrets_need_a_pattern(spark):
+    rng = random.Random(3)
+    rows = [(i, f"w{i} v{i} password={''.join(rng.choice('abcdef0123456789') for _ in range(18))} u{i}") for i in range(6)]
+    rows += [(50, "now password=hunter2x then"), (51, "a b 0123456789abcdef0123 c"), (52, "note: hello7 world"), (53, "see name: Johnny5x end")]
+    got = {r.doc_id: r for r in pii.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i].spans == f"secret:{15}:{33}" and got[i].n_secret == 1 for i in range(6))
+    assert got[50].spans == "secret:13:21"  # its look alone says nothing, the field's name does
+    assert all(got[i].spans == "" for i in (51, 52, 53))  # the look alone says nothing, nor does a field without seeds
+
+
+def plain_bootstrap(mentions, rounds=3, min_support=3, min_pattern=0.7, min_score=0.8):
+    """Scores by the definition, over (kind, seed, inst, patterns, kinds)."""
+    pats = {p for m in mentions for p in m[3]}
+    of = {p: {m[2] for m in mentions if p in m[3]} for p in pats}
+    seeds = {(m[2], m[1]) for m in mentions if m[1]}
+    open_ = {(p, m[2], k) for m in mentions if not m[0] for p in m[3] for k in m[4]}
+    believed, scored = set(seeds), {}
+    for _ in range(rounds):
+        known = {i for i, _ in believed}
+        kept = {}
+        for p in pats:
+            for k in pii.ALL_KINDS:
+                support = len({i for i in of[p] if (i, k) in believed and (any(q == p and i == j and k == l for q, j, l in open_) or any(m[2] == i and m[1] == k and p in m[3] for m in mentions))})
+                unknown = len({i for q, i, l in open_ if q == p and l == k and i not in known})
+                if support >= min_support and support / (len(of[p]) - unknown + 1) >= min_pattern:
+                    kept[p, k] = support / (len(of[p]) - unknown + 1)
+        scored = {}
+        for p, i, k in open_:
+            if (p, k) in kept:
+                scored[i, k] = scored.get((i, k), 1.0) * (1 - kept[p, k])
+        scored = {x: 1 - v for x, v in scored.items() if 1 - v >= min_score}
+        believed = seeds | set(scored)
+    best = {}
+    for (i, k), v in sorted(scored.items(), key=lambda x: (-x[1], pii.ALL_KINDS.index(x[0][1]))):
+        best.setdefault(i, k)
+    return best
+
+
+def test_bootstrap_equals_its_definition(spark):
+    rng = random.Random(11)
+    values = ["+1 (555) 200-%04d", "555-200-%04d", "user%d@mail.org", "user%d at @host", "password=ab12cd34ef56%06d", "password=x%d", "id: 12345%03d", "10.0.0.%d"]
+    rows = []
+    for i in range(160):
+        v = rng.choice(values) % rng.randint(1, 200)
+        head = rng.choice(["call me at", "write to us", "tel", "my key is", ""])
+        rows.append((i, f"{head} {v} {rng.choice(['today', 'now', ''])}"))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = pii.mentions(df)
+    got = {r.inst: r.kind for r in pii.bootstrap(found).collect()}
+    ms = [(m.kind, m.seed, m.inst, set(m.pats), list(m.kinds)) for r in found.collect() for m in r.found]
+    assert got == plain_bootstrap(ms) and len(set(got.values())) > 1
+
+
 def test_mask_changes_only_spans(spark):
-    df = spark.createDataFrame([(1, "mail x@y.org now", "k"), (2, None, None), (3, "clean", "_key")], "doc_id long, text string, added string")
+    names = ("added", "_key", "_added", "row", "row_", "key", "found")
+    cols = "".join(f", {n} string" for n in names)
+    rows = [(1, "mail x@y.org now", *names), (2, None, *[None] * 7), (3, "clean", *names), (None, "mail x@y.org now", *names)]
+    df = spark.createDataFrame(rows, "doc_id long, text string" + cols)
     got = {r.doc_id: r for r in pii.mask(df).collect()}
-    assert got[1].text == "mail <EMAIL> now" and got[1].added == "k"
-    assert got[2].text is None and got[3].text == "clean"
+    assert got[1].text == got[None].text == "mail <EMAIL> now" and got[1].asDict().items() >= dict(zip(names, names)).items()
+    assert got[2].text is None and got[3].text == "clean" and pii.mask(df).columns == df.columns
 
 
 def test_empty_table(spark):

@@ -111,4 +111,6 @@ def run_summary(runs: DataFrame, clusters: DataFrame, anomalies: DataFrame) -> D
 
 
 def health(tables: dict[str, DataFrame], expected: int = 11) -> dict:
-    return {"status": "ok" if len(tables) == expected else "degraded", "tables": len(tables)}
+    """ok if all expected tables are there and hold a row; each is opened and read for it."""
+    filled = sum(not t.isEmpty() for t in tables.values())
+    return {"status": "ok" if len(tables) == filled == expected else "degraded", "tables": len(tables)}

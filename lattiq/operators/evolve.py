@@ -55,7 +55,7 @@ def random_genes(space: dict, rng: np.random.Generator) -> dict:
     return out
 
 
-def sbx(a: float, b: float, spec: dict, rng: np.random.Generator, eta: float = 15.0) -> tuple[float, float]:
+def sbx(a: float, b: float, spec: dict, rng: np.random.Generator, eta: float = 20.0) -> tuple[float, float]:
     """Simulated binary crossover in the gene's own scale; half of the genes and equal parents are left alone."""
     to, back = _scale(spec)
     x, y = to(a), to(b)
@@ -67,11 +67,19 @@ def sbx(a: float, b: float, spec: dict, rng: np.random.Generator, eta: float = 1
 
 
 def polynomial(value: float, spec: dict, rng: np.random.Generator, eta: float = 20.0) -> float:
+    """Polynomial mutation whose spread depends on the distance to the bound that lies in its way."""
     to, back = _scale(spec)
     low, high = to(spec["min"]), to(spec["max"])
-    u = rng.random()
-    delta = (2 * u) ** (1 / (eta + 1)) - 1 if u < 0.5 else 1 - (2 * (1 - u)) ** (1 / (eta + 1))
-    return _round(back(np.clip(to(value) + delta * (high - low), low, high)), spec)
+    if high <= low:
+        return value
+    x, u = to(value), rng.random()
+    if u < 0.5:
+        room = 1 - (x - low) / (high - low)
+        delta = (2 * u + (1 - 2 * u) * room ** (eta + 1)) ** (1 / (eta + 1)) - 1
+    else:
+        room = 1 - (high - x) / (high - low)
+        delta = 1 - (2 * (1 - u) + 2 * (u - 0.5) * room ** (eta + 1)) ** (1 / (eta + 1))
+    return _round(back(np.clip(x + delta * (high - low), low, high)), spec)
 
 
 def crossover(a: dict, b: dict, space: dict, rng: np.random.Generator) -> tuple[dict, dict]:

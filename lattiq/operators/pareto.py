@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+import bisect
+import functools
 import itertools
+import operator
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+
+from lattiq.operators.sequences import positions
+from lattiq.session import materialize
 
 FEASIBLE = 1e-9
 
@@ -35,7 +43,7 @@ def constraint_violation(u_max: Column, d_max: Column, dead: Column, threshold:
     """Disorder above *limit* plus a graded penalty on dead neurons above *threshold*."""
     zero = F.lit(0.0)
     disorder = F.greatest(zero, F.greatest(F.coalesce(u_max, zero), F.coalesce(d_max, zero)) - limit)
-    excess = F.greatest(zero, F.coalesce(dead, zero) - threshold)
+    excess = F.round(F.greatest(zero, F.coalesce(dead, zero) - threshold), 9)
     grade = F.when(excess == 0, 0.0).when(excess < 0.2, 1.5).when(excess < 0.4, 2.5).otherwise(5.0)
     return disorder + excess * grade
 
@@ -61,11 +69,18 @@ def dominates(p: str, q: str, objs: list[str], cv: str, skip_null: bool = False)
 
 
 def first_front(df: DataFrame, uid: str, objs: list[str], cv: str, skip_null: bool = False) -> DataFrame:
-    """Rows that no other row dominates. Distinct objective vectors meet, not rows."""
-    points = df.select(*objs, cv).distinct().withColumn("_id", F.xxhash64(*objs, cv))
-    beaten = _beaten(points, objs, cv, skip_null)
-    keep = points.join(beaten, "_id", "left_anti").select("_id")
-    return df.withColumn("_id", F.xxhash64(*objs, cv)).join(keep, "_id", "left_semi").drop("_id")
+    """Rows that no other row dominates. Distinct objective vectors meet, not rows.
+
+    Unless missing objectives are skipped, dominance is transitive: each partition first
+    drops what its own points dominate, and only what is left meets.
+    """
+    points = df.select(*objs, cv).distinct()
+    if not skip_null:
+        points = materialize(points.mapInPandas(_own_front(objs, cv), points.schema), "own-fronts")
+    points = points.withColumn("_id", F.xxhash64(*objs, cv))
+    keep = points.join(_beaten(points, objs, cv, skip_null), "_id", "left_anti")
+    same = [df[c].eqNullSafe(keep[c]) for c in (*objs, cv)]
+    return df.join(keep, functools.reduce(operator.and_, same), "left_semi")
 
 
 def _beaten(points: DataFrame, objs: list[str], cv: str, skip_null: bool) -> DataFrame:
@@ -73,23 +88,86 @@ def _beaten(points: DataFrame, objs: list[str], cv: str, skip_null: bool) -> Dat
     return q.join(p, dominates("p", "q", objs, cv, skip_null), "left_semi").select("_id")
 
 
-def fronts(df: DataFrame, uid: str, objs: list[str], cv: str, most: int = 64) -> DataFrame:
-    """Front number of each row by peeling; rows beyond *most* fronts get that number."""
-    from lattiq.session import materialize
-
-    left = materialize(df.select(*objs, cv).distinct().withColumn("_id", F.xxhash64(*objs, cv)), "front-points")
-    ranked: DataFrame | None = None
-    for k in range(most + 1):
-        if left.isEmpty():
-            break
-        beaten = _beaten(left, objs, cv, False).distinct() if k < most else left.select("_id").limit(0)
-        beaten = materialize(beaten, "front-beaten")
-        done = left.join(beaten, "_id", "left_anti").select("_id", F.lit(k).alias("front"))
-        ranked = done if ranked is None else ranked.unionByName(done)
-        left = left.join(beaten, "_id", "left_semi")
-    if ranked is None:
-        return df.withColumn("front", F.lit(0)).limit(0)
-    return df.withColumn("_id", F.xxhash64(*objs, cv)).join(ranked, "_id").drop("_id")
+def _dominated(x: np.ndarray, xc: np.ndarray, by: np.ndarray, byc: np.ndarray) -> np.ndarray:
+    """Which rows of *x* (violations *xc*) some row of *by* dominates."""
+    out = np.zeros(len(x), bool)
+    for a in range(0, len(x), 256):
+        q, qc, p, pc = x[a : a + 256, None], xc[a : a + 256, None], by[None], byc[None]
+        pareto = (p <= q).all(2) & (p < q).any(2)
+        pf, qf = pc < FEASIBLE, qc < FEASIBLE
+        out[a : a + 256] = np.where(pf & qf, pareto, np.where(pf, True, np.where(qf, False, pc < qc))).any(1)
+    return out
+
+
+def _own_front(objs: list[str], cv: str):
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = None
+        for f in frames:
+            for a in range(0, len(f), 1000):
+                held = f[a : a + 1000] if held is None else pd.concat([held, f[a : a + 1000]])
+                x, c = held[objs].to_numpy(float), held[cv].to_numpy(float)
+                held = held[~_dominated(x, c, x, c)]
+        if held is not None:
+            yield held
+
+    return run
+
+
+def fronts(df: DataFrame, uid: str, objs: list[str], cv: str, at_once: int = 20_000) -> DataFrame:
+    """Front number of each row, for all fronts.
+
+    Feasible points are peeled, front by front; up to *at_once* of them are ranked at once by
+    the same rule. Infeasible rows follow, a front for each violation.
+    """
+    points = materialize(df.select(*objs, cv).distinct(), "front-points")
+    good = points.where(F.col(cv) < FEASIBLE).select(*objs).distinct()
+    n, parts, done = good.count(), [], 0
+    while n > at_once:
+        first = materialize(first_front(good.withColumn(cv, F.lit(0.0)), uid, objs, cv).drop(cv), "front")
+        parts.append(first.withColumn("front", F.lit(done)))
+        good = materialize(good.join(first, functools.reduce(operator.and_, [good[o].eqNullSafe(first[o]) for o in objs]), "left_anti"), "front-rest")
+        n, done = good.count(), done + 1
+    rows = [tuple(r) for r in good.collect()]  # at_once at most
+    ranks = front_numbers(np.array(rows, float).reshape(-1, len(objs)))
+    schema = T.StructType([*good.schema, T.StructField("front", T.IntegerType())])
+    feasible = df.sparkSession.createDataFrame([(*r, done + int(k)) for r, k in zip(rows, ranks, strict=True)], schema)
+    for p in parts:
+        feasible = feasible.unionByName(p)
+    after = done + (int(ranks.max()) + 1 if len(ranks) else 0)
+    bad = df.where(~F.coalesce(F.col(cv) < FEASIBLE, F.lit(False)))
+    levels = positions(bad.select(F.col(cv).alias("_cv")).where("_cv IS NOT NULL").distinct(), ["_cv"]).select("_cv", (F.col("position") + after).cast("int").alias("front"))
+    behind = bad.join(levels, F.col(cv) == F.col("_cv"), "left").drop("_cv").withColumn("front", F.coalesce("front", F.lit(after)))
+    named = feasible.select(*[F.col(o).alias(f"_f{k}") for k, o in enumerate(objs)], "front")
+    same = functools.reduce(operator.and_, [F.col(o).eqNullSafe(F.col(f"_f{k}")) for k, o in enumerate(objs)])
+    ahead = df.where(F.col(cv) < FEASIBLE).join(named, same).drop(*[f"_f{k}" for k in range(len(objs))])
+    return ahead.unionByName(behind)
+
+
+def front_numbers(x: np.ndarray) -> np.ndarray:
+    """Front of each point: one more than the last front with a point that dominates it.
+
+    Points are taken in lexicographic order, so that dominators come first; whether a front
+    dominates a point is monotone in the front's number, which allows a binary search.
+    """
+    out = np.zeros(len(x), np.int64)
+    whole = ~np.isnan(x).any(1)  # a point with a missing objective dominates none and is dominated by none
+    order = [i for i in np.lexsort(x.T[::-1]).tolist() if whole[i]]
+    members: list[list[int]] = []
+    lowest: list[float] = []  # with two objectives a front dominates as its least second one does
+    for i in order:
+        if x.shape[1] == 2:
+            f = bisect.bisect_right(lowest, x[i, 1])
+            lowest[f : f + 1] = [x[i, 1]]
+        else:
+            lo, hi = 0, len(members)
+            while lo < hi:
+                mid = (lo + hi) // 2
+                p = x[members[mid]]
+                lo, hi = (mid + 1, hi) if ((p <= x[i]).all(1) & (p < x[i]).any(1)).any() else (lo, mid)
+            f = lo
+            members[f : f + 1] = [[*(members[f] if f < len(members) else []), i]]
+        out[i] = f
+    return out
 
 
 def crowding(df: DataFrame, uid: str, front: str, objs: list[str]) -> DataFrame:
@@ -137,6 +215,34 @@ def hypervolume(points: np.ndarray, reference: np.ndarray) -> float:
     return sum(float(b - a) * hypervolume(inside[: k + 1, :-1], reference[:-1]) for k, (a, b) in enumerate(itertools.pairwise(heights)) if b > a)
 
 
+def hypervolume_2d(front: DataFrame, objs: list[str], reference: tuple[float, float]) -> DataFrame:
+    """Area that a front of two objectives dominates below *reference*: slabs between neighbours, of any number."""
+    x, y = objs
+    inside = front.where((F.col(x) < reference[0]) & (F.col(y) < reference[1])).groupBy(x).agg(F.min(y).alias(y))
+    p = positions(inside, [x])
+    above = p.select((F.col("position") + 1).alias("position"), F.col(y).alias("_above"))
+    slab = (reference[0] - F.col(x)) * (F.coalesce("_above", F.lit(reference[1])) - F.col(y))
+    return p.join(above, "position", "left").agg(F.round(F.coalesce(F.sum(slab), F.lit(0.0)), 6).alias("hypervolume"))
+
+
+def archive_evolution(df: DataFrame, generation: str, objs: list[str], cv: str) -> DataFrame:
+    """Per generation: members, feasible ones, and the least of each objective and of the violation."""
+    least = [F.min(c).alias(f"least_{c}") for c in (*objs, cv)]
+    return df.groupBy(generation).agg(F.count(F.lit(1)).alias("members"), F.count_if(F.col(cv) < FEASIBLE).alias("feasible"), *least)
+
+
+def next_dominators(df: DataFrame, uid: str, generation: str, objs: list[str], cv: str) -> DataFrame:
+    """Per member: how many of the next generation dominate it."""
+    later = df.withColumn(generation, F.col(generation) - 1).alias("p")
+    met = df.alias("q").join(later, (F.col(f"p.{generation}") == F.col(f"q.{generation}")) & dominates("p", "q", objs, cv), "left")
+    return met.groupBy(F.col(f"q.{uid}").alias(uid), F.col(f"q.{generation}").alias(generation)).agg(F.count(F.col(f"p.{uid}")).alias("dominators"))
+
+
+def calibrated_limit(probes: DataFrame, value: str, share: float = 0.7, otherwise: float = 1.0) -> DataFrame:
+    """The percentile of the probes' maxima that serves as limit; without probes a fixed one."""
+    return probes.agg(F.round(F.coalesce(F.percentile(value, share), F.lit(otherwise)), 6).alias("limit"), F.count(value).alias("probes"))
+
+
 def recommendations(df: DataFrame, cols: list[str], penalized: str, share: float = 0.95) -> DataFrame:
     """Parameter values nearly always penalised, and those penalised more than half the time."""
     long = df.select(F.col(penalized).cast("double").alias("_p"), *[F.col(c).cast("string").alias(c) for c in cols]).unpivot(["_p"], cols, "parameter", "value")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+
+from lattiq.operators.sequences import positions
 
 NUMERIC = (T.NumericType, T.BooleanType)
 
@@ -76,7 +78,8 @@ def fill_missing(df: DataFrame, cols: list[str]) -> DataFrame:
 
 def label_codes(df: DataFrame, col: str) -> DataFrame:
     """(value, code): rank of each distinct value in sorted order, from zero."""
-    return df.select(F.col(col).alias("value")).where("value IS NOT NULL").distinct().withColumn("code", (F.dense_rank().over(Window.orderBy("value")) - 1).cast("int"))
+    values = df.select(F.col(col).alias("value")).where("value IS NOT NULL").distinct()
+    return positions(values, ["value"]).select("value", F.col("position").cast("int").alias("code"))
 
 
 def encode_labels(df: DataFrame, cols: list[str]) -> DataFrame:

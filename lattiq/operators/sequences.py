@@ -60,9 +60,16 @@ def split(df: DataFrame, id_col: str, stratum: str | None = None, shares: tuple[
     """train, val or test by the rank of the id's hash within its stratum; a split is by individual."""
     keys = [stratum] if stratum else []
     ids = df.select(id_col, *keys).distinct().withColumn("_h", F.md5(F.col(id_col).cast("string")))
-    w = Window.partitionBy(*keys).orderBy("_h", id_col)
-    ids = ids.withColumn("_r", F.percent_rank().over(w))
-    part = F.when(F.col("_r") < shares[0], "train").when(F.col("_r") < sum(shares), "val").otherwise("test")
+    if keys:
+        w = Window.partitionBy(*keys)
+        ids = ids.withColumns({"position": F.row_number().over(w.orderBy("_h", id_col)) - 1, "rows": F.count(F.lit(1)).over(w)})
+    else:
+        ids = positions(ids, ["_h", id_col])
+
+    def below(share: float) -> Column:  # of the percent rank, in whole numbers
+        return (F.col("rows") == 1) | (F.col("position") * 1000 < round(1000 * share) * (F.col("rows") - 1))
+
+    part = F.when(below(shares[0]), "train").when(below(sum(shares)), "val").otherwise("test")
     return df.join(ids.select(id_col, part.alias("split")), id_col)
 
 

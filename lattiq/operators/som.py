@@ -70,12 +70,17 @@ def _gap2(features: tuple[str, ...], w: np.ndarray) -> Column:
     return out
 
 
-def _nearest_expression(cb: Codebook, k: int) -> list[Column]:
+def _nearest_expression(df: DataFrame, cb: Codebook, k: int) -> DataFrame:
+    """The nearest neuron is the least of all; the second one the least of the others."""
     each = [F.struct(_gap2(cb.features, w).alias("d2"), F.lit(nid).alias("nid")) for nid, w in enumerate(cb.weights)]
-    if k == 1:
-        return [F.least(*each) if len(each) > 1 else each[0]]
-    ranked = F.array_sort(F.array(*each))
-    return [ranked[t] for t in range(k)]
+
+    def least(structs: list[Column]) -> Column:
+        return F.least(*structs) if len(structs) > 1 else structs[0]
+
+    got = df.withColumn("_b", least(each))
+    if k == 2:
+        got = got.withColumn("_b2", least([F.when(F.col("_b.nid") != nid, s) for nid, s in enumerate(each)]))
+    return got.withColumns({f"{c}{s}": F.col(f"_b{s}.{c}") for s in ("", "2")[:k] for c in ("nid", "d2")}).drop("_b", "_b2")
 
 
 def nearest(df: DataFrame, cb: Codebook, k: int = 1) -> DataFrame:
@@ -83,11 +88,7 @@ def nearest(df: DataFrame, cb: Codebook, k: int = 1) -> DataFrame:
     if k not in (1, 2):
         raise ValueError("k is 1 or 2")
     if cb.weights.size <= EXPRESSION_TERMS:
-        got = df
-        for t, best in enumerate(_nearest_expression(cb, k)):
-            s = "" if t == 0 else "2"
-            got = got.withColumn("_b", best).withColumns({f"nid{s}": F.col("_b.nid"), f"d2{s}": F.col("_b.d2")}).drop("_b")
-        return got
+        return _nearest_expression(df, cb, k)
     return _nearest_arrow(df, cb, k)
 
 

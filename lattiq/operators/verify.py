@@ -6,8 +6,8 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lattiq.operators.sequences import positions
 from lattiq.operators.stats import dominant
-from lattiq.operators.windows import average_rank
 
 
 def linear_r2(df: DataFrame, y: str, x1: str, x2: str) -> DataFrame:
@@ -91,8 +91,8 @@ def chain_crossings(points: DataFrame, order: str, x: str, y: str) -> DataFrame:
     return a.join(b, F.col("b.k") >= F.col("a.k") + 2).agg(F.count_if(cross).alias("crossings"), F.count(F.lit(1)).alias("pairs"))
 
 
-def distance_spearman(points: DataFrame, id_col: str, u: list[str], v: list[str], every: int = 7) -> DataFrame:
-    """Spearman correlation of distances in two spaces over hash-sampled pairs."""
+def distance_spearman(points: DataFrame, id_col: str, u: list[str], v: list[str]) -> DataFrame:
+    """Spearman correlation of distances in two spaces over all pairs of a bounded sample."""
     from lattiq.operators.windows import spearman
 
     a, b = points.alias("a"), points.alias("b")
@@ -100,20 +100,21 @@ def distance_spearman(points: DataFrame, id_col: str, u: list[str], v: list[str]
     def gap(cols: list[str]) -> Column:
         return F.round(F.sqrt(sum(((F.col(f"a.{c}") - F.col(f"b.{c}")) * (F.col(f"a.{c}") - F.col(f"b.{c}")) for c in cols), F.lit(0.0))), 9)
 
-    chosen = (F.col(f"a.{id_col}") * 31 + F.col(f"b.{id_col}") * 17) % every == 0
-    pairs = a.join(b, F.col(f"a.{id_col}") < F.col(f"b.{id_col}")).where(chosen).select(F.lit(1).alias("k"), gap(u).alias("du"), gap(v).alias("dv"))
+    pairs = a.join(b, F.col(f"a.{id_col}") < F.col(f"b.{id_col}")).select(F.lit(1).alias("k"), gap(u).alias("du"), gap(v).alias("dv"))
     return spearman(pairs, "du", "dv", ["k"]).select(F.round("rho", 6).alias("rho"), "n")
 
 
 def mann_whitney(df: DataFrame, group: str, value: str, a, b) -> tuple[float, float] | None:
     """(U, two-sided p) by the normal approximation with tie correction; None under three values a side."""
-    x = df.where(F.col(group).isin(a, b)).withColumn("_r", average_rank(value))
-    sides = {r[group]: r for r in x.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.sum("_r").alias("s")).collect()}
-    if any(g not in sides or sides[g]["n"] < 3 for g in (a, b)):
+    x = positions(df.where(F.col(group).isin(a, b)).select(group, value), [value])
+    # equal values share the mean of their positions
+    per = x.groupBy(value).agg(F.avg(F.col("position") + 1).alias("_r"), F.count_if(F.col(group) == a).alias("_a"), F.count(F.lit(1)).alias("_n"))
+    one = per.agg(F.sum("_a").alias("a"), F.sum("_n").alias("n"), F.sum(F.col("_r") * F.col("_a")).alias("s"), F.sum(F.pow("_n", 3) - F.col("_n")).alias("t")).first()
+    n1, n = one["a"] or 0, one["n"] or 0
+    n2, ties = n - n1, one["t"]
+    if min(n1, n2) < 3:
         return None
-    ties = x.groupBy(value).count().agg(F.sum(F.pow("count", 3) - F.col("count"))).first()[0]
-    n1, n2 = sides[a]["n"], sides[b]["n"]
-    u, n = sides[a]["s"] - n1 * (n1 + 1) / 2, n1 + n2
+    u = one["s"] - n1 * (n1 + 1) / 2
     var = n1 * n2 / 12 * (n + 1 - ties / (n * (n - 1)))
     if var <= 0:
         return u, 1.0

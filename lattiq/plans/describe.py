@@ -186,13 +186,13 @@ def a34_distinct_counts(spark, d):
 # joins
 
 
-@query("""SELECT l_suppkey, l_linenumber, count(*) AS n, count(*) FILTER (abs(l_discount - m) > 1.5 * s) AS far FROM lineitem JOIN (SELECT l_suppkey, avg(l_discount) AS m, stddev_samp(l_discount) AS s FROM lineitem GROUP BY 1) USING (l_suppkey) WHERE abs(abs(l_discount - m) - 1.5 * s) > 1e-9 GROUP BY 1, 2""")
+@query("""SELECT l_suppkey, l_linenumber, count(*) AS n, count(*) FILTER (round(abs(l_discount - m) - 1.5 * s, 9) > 0) AS far FROM lineitem JOIN (SELECT l_suppkey, avg(l_discount) AS m, stddev_samp(l_discount) AS s FROM lineitem GROUP BY 1) USING (l_suppkey) GROUP BY 1, 2""")
 def j2_rows_with_group_stats(spark, d):
     l = table(spark, d, "lineitem")
     s = l.groupBy("l_suppkey").agg(F.avg("l_discount").alias("m"), F.stddev_samp("l_discount").alias("s"))
     gap = F.abs(F.col("l_discount") - F.col("m"))
-    x = l.select("l_suppkey", "l_linenumber", "l_discount").join(s, "l_suppkey", "left").where(F.abs(gap - 1.5 * F.col("s")) > 1e-9)
-    return x.groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.count_if(gap > 1.5 * F.col("s")).alias("far"))
+    x = l.select("l_suppkey", "l_linenumber", "l_discount").join(s, "l_suppkey", "left")
+    return x.groupBy("l_suppkey", "l_linenumber").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.round(gap - 1.5 * F.col("s"), 9) > 0).alias("far"))
 
 
 @query("SELECT c_custkey, EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 450000) AS is_outlier FROM customer")
@@ -246,3 +246,18 @@ def j16_key_navigation(spark, d):
     n = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
     x = by_customer.join(table(spark, d, "customer"), "c_custkey").groupBy("c_nationkey").agg(F.sum("orders").alias("orders"), F.sum("total").alias("total"))
     return x.join(n, F.col("c_nationkey") == F.col("n_nationkey")).select("r_name", "n_name", "orders", F.round("total", 2).alias("total"))
+
+
+@query("""WITH l AS (SELECT l_returnflag, l_linenumber, 'l_discount' AS metric, l_discount::DOUBLE AS v FROM lineitem UNION ALL SELECT l_returnflag, l_linenumber, 'l_quantity', l_quantity::DOUBLE FROM lineitem)
+SELECT l_returnflag, l_linenumber, metric, count(*) AS n, round(avg(v), 4) AS mean, round(stddev_pop(v), 4) AS std, min(v) AS min, max(v) AS max, round(quantile_cont(v, 0.25), 4) AS p25, round(quantile_cont(v, 0.5), 4) AS median, round(quantile_cont(v, 0.75), 4) AS p75 FROM l GROUP BY 1, 2, 3""")
+def a21_a27_arm_report(spark, d):
+    return A.summary_by(table(spark, d, "lineitem"), ["l_returnflag", "l_linenumber"], ["l_discount", "l_quantity"])
+
+
+@query("""WITH c AS (SELECT user_id, count(*) AS seen, round(avg(value), 6) AS level FROM events WHERE event_type = 'purchase' GROUP BY 1)
+SELECT event_id, user_id, value, seen, level FROM events JOIN c USING (user_id)""")
+def j13_trajectory_with_context(spark, d):
+    """Steps of a trajectory beside the context of their run; steps without one are dropped."""
+    e = table(spark, d, "events")
+    context = e.where("event_type = 'purchase'").groupBy("user_id").agg(F.count(F.lit(1)).alias("seen"), F.round(F.avg("value"), 6).alias("level"))
+    return e.select("event_id", "user_id", "value").join(context, "user_id")

@@ -121,7 +121,7 @@ def m7_batch_training(spark, d):
 
 @query()
 def m3_m5_online_training(spark, d):
-    sample = S.distance_sample(table(spark, d, "part"), "p_partkey", 300).select((F.col("p_size") / 50.0).alias("a"), (F.col("p_retailprice") / 2000).alias("b"))
+    sample = table(spark, d, "part").orderBy("p_partkey").select((F.col("p_size") / 50.0).alias("a"), (F.col("p_retailprice") / 2000).alias("b"))
     x = np.array([tuple(r) for r in sample.collect()])
     configs = spark.createDataFrame([(f"r{s}", s, 10.0 * (s + 1), s % 2 == 0) for s in range(4)], "uid string, seed long, percent double, reshuffle boolean")
     return S.train_many(x, G.Grid(5, 5, "square"), configs).drop("weights")
@@ -233,13 +233,13 @@ def g1_o7_regions(spark, d):
     return G.regions(cells(spark, d), GRID.edges(spark, rook=True))
 
 
-def sample(spark, d, cap=150):
+def sample(spark, d, cap=2000):
     e = S.distance_sample(table(spark, d, "embeddings"), "vec_id", cap)
     w = F.transform("embedding", lambda v: v.cast("double"))
     return e.select("vec_id", "label", w.alias("v"), F.slice(w, 1, 1)[0].alias("i"), F.slice(w, 2, 1)[0].alias("j"))
 
 
-SAMPLE = "s AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, embedding[1]::DOUBLE AS i, embedding[2]::DOUBLE AS j FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 150)"
+SAMPLE = "s AS (SELECT vec_id, label, embedding::DOUBLE[] AS v, embedding[1]::DOUBLE AS i, embedding[2]::DOUBLE AS j FROM embeddings ORDER BY md5(vec_id::VARCHAR), vec_id LIMIT 2000)"
 VDIST = "sqrt(list_sum(list_transform(range(1, 65), lambda k: (a.v[k] - b.v[k]) * (a.v[k] - b.v[k]))))"
 
 

@@ -63,9 +63,9 @@ def w9_resample(spark, d):
     return out.select("user_id", F.round("at", 6).alias("position"), F.round("value", 6).alias("value"))
 
 
-@query(f"""WITH s AS (SELECT user_id, list(value {SEQ})[1:20] AS seq FROM events GROUP BY 1) SELECT user_id, share, seq[1:greatest(2, round_even(share * len(seq), 0)::INTEGER)] AS prefix FROM s, (VALUES (0.2::DOUBLE), (0.3), (0.5), (0.7)) t(share)""")
+@query(f"""WITH s AS (SELECT user_id, list(value {SEQ}) AS seq FROM events GROUP BY 1) SELECT user_id, share, seq[1:greatest(2, round_even(share * len(seq), 0)::INTEGER)] AS prefix FROM s, (VALUES (0.2::DOUBLE), (0.3), (0.5), (0.7)) t(share)""")
 def w10_prefix_windows(spark, d):
-    ordered = F.slice(F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"]), 1, 20)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))), lambda x: x["value"])
     return W.prefix_windows(events(spark, d).groupBy("user_id").agg(ordered.alias("seq")), "seq", [0.2, 0.3, 0.5, 0.7]).select("user_id", "share", "prefix")
 
 

@@ -38,11 +38,11 @@ def x3_local_kinds(spark, d):
     return X.local_kinds(X.local_outliers(part(spark, d), "p_partkey", "p_brand", COLS, 1.6), "p_partkey")
 
 
-@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events WHERE user_id % 2 = 0 OR event_type = 'click' GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r, sum(n) OVER (PARTITION BY user_id) AS s FROM c),
+@query("""WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY 1, 2), t AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n DESC, event_type) AS r, sum(n) OVER (PARTITION BY user_id) AS s FROM c),
 top AS (SELECT user_id, event_type AS dominant, round(n / s::DOUBLE, 6) AS purity FROM t WHERE r = 1 AND round(n / s::DOUBLE, 6) >= 0.22 AND round(n / s::DOUBLE, 6) < 1)
 SELECT user_id, dominant, purity, sum(n)::BIGINT AS minority, string_agg(event_type, ',' ORDER BY event_type) AS others, 'cluster:' || user_id AS sample_id FROM top JOIN c USING (user_id) WHERE event_type <> dominant GROUP BY 1, 2, 3""")
 def x4_categorical_minority(spark, d):
-    e = table(spark, d, "events").where((F.col("user_id") % 2 == 0) | (F.col("event_type") == "click")).select("user_id", "event_type")
+    e = table(spark, d, "events").select("user_id", "event_type")
     return X.categorical_minority(e, "user_id", "event_type", 0.22)
 
 
@@ -76,13 +76,14 @@ def x7_enrich_extremes(spark, d):
     return X.enrich_extremes(e, a, "id").withColumn("qe", F.round("qe", 6))
 
 
-@query(f"""WITH {LONG}, s AS (SELECT feature, avg(value) AS mean, min(value) AS min, max(value) AS max FROM l GROUP BY 1)
+@query(f"""WITH {LOCAL}, g AS (SELECT feature, avg(value) AS mean, min(value) AS min, max(value) AS max FROM l GROUP BY 1)
 SELECT p_partkey, feature, value, round(value - mean, 4) AS delta, round((value - mean) / abs(mean) * 100, 2) AS delta_pct,
- CASE WHEN value = min THEN 'min' WHEN value = max THEN 'max' WHEN abs((value - mean) / abs(mean) * 100) >= 50 THEN 'strong' WHEN abs((value - mean) / abs(mean) * 100) >= 20 THEN 'moderate' END AS flag FROM l JOIN s USING (feature) WHERE p_partkey % 10 = 0""")
+ CASE WHEN value = min THEN 'min' WHEN value = max THEN 'max' WHEN abs((value - mean) / abs(mean) * 100) >= 50 THEN 'strong' WHEN abs((value - mean) / abs(mean) * 100) >= 20 THEN 'moderate' END AS flag FROM l JOIN g USING (feature) WHERE p_partkey IN (SELECT p_partkey FROM loc)""")
 def x11_anomaly_records(spark, d):
     p = part(spark, d)
+    found = X.local_outliers(p, "p_partkey", "p_brand", COLS, 1.6).select("p_partkey").distinct()
     stats = A.long_form(p, [], COLS).groupBy("feature").agg(F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"))
-    return X.anomaly_records(p.where("p_partkey % 10 = 0"), "p_partkey", COLS, stats)
+    return X.anomaly_records(p.join(found, "p_partkey", "left_semi"), "p_partkey", COLS, stats)
 
 
 @query()

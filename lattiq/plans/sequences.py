@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window, functions as F
 
 from lattiq.operators import sequences as N
+from lattiq.operators.pareto import first_front
 from lattiq.plans.registry import query
 from lattiq.session import table
 
@@ -33,18 +34,19 @@ def n1_normalise_checkpoints(spark, d):
     return x.select("uid", *[F.round(c, 6).alias(c) for c in x.columns[1:]])
 
 
-@query("""SELECT uid, n, uid % 10 = 0 AS is_pareto FROM (SELECT user_id AS uid, count(*) AS n, avg(value) AS v FROM events WHERE event_type <> 'error' GROUP BY 1 HAVING count(*) >= 4)""")
+@query("""WITH g AS (SELECT user_id AS uid, count(*) AS n, round(avg(value), 6) AS v FROM events WHERE event_type <> 'error' GROUP BY 1 HAVING count(*) >= 4)
+SELECT uid, n, v, NOT EXISTS (SELECT 1 FROM g p WHERE p.v <= q.v AND p.n >= q.n AND (p.v < q.v OR p.n > q.n)) AS is_pareto FROM g q""")
 def n2_load_individuals(spark, d):
-    g = table(spark, d, "events").where("event_type <> 'error'").groupBy(F.col("user_id").alias("uid")).agg(F.count(F.lit(1)).alias("n")).where("n >= 4")
-    return g.select("uid", "n", (F.col("uid") % 10 == 0).alias("is_pareto"))
+    g = table(spark, d, "events").where("event_type <> 'error'").groupBy(F.col("user_id").alias("uid")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 6).alias("v")).where("n >= 4")
+    best = first_front(g.select("uid", "v", (-F.col("n")).alias("few"), F.lit(0.0).alias("cv")), "uid", ["v", "few"], "cv")
+    flag = best.select("uid", F.lit(True).alias("is_pareto"))
+    return g.join(flag, "uid", "left").select("uid", "n", "v", F.coalesce("is_pareto", F.lit(False)).alias("is_pareto"))
 
 
-@query("""WITH r AS (SELECT p_partkey, p_type, percent_rank() OVER (PARTITION BY p_type ORDER BY md5(p_partkey::VARCHAR), p_partkey) AS r FROM part) SELECT p_partkey, p_type, CASE WHEN r < 0.7 THEN 'train' WHEN r < 0.85 THEN 'val' ELSE 'test' END AS split FROM r WHERE abs(r - 0.7) > 1e-9 AND abs(r - 0.85) > 1e-9""")
+@query("""WITH r AS (SELECT p_partkey, p_type, percent_rank() OVER (PARTITION BY p_type ORDER BY md5(p_partkey::VARCHAR), p_partkey) AS r FROM part) SELECT p_partkey, p_type, CASE WHEN r < 0.7 THEN 'train' WHEN r < 0.85 THEN 'val' ELSE 'test' END AS split FROM r""")
 def n3_n12_stratified_split(spark, d):
     x = table(spark, d, "part").select("p_partkey", "p_type")
-    w = Window.partitionBy("p_type").orderBy(F.md5(F.col("p_partkey").cast("string")), "p_partkey")
-    edge = x.withColumn("r", F.percent_rank().over(w)).where((F.abs(F.col("r") - 0.7) <= 1e-9) | (F.abs(F.col("r") - 0.85) <= 1e-9)).select("p_partkey")
-    return N.split(x, "p_partkey", "p_type").join(edge, "p_partkey", "left_anti").select("p_partkey", "p_type", "split")
+    return N.split(x, "p_partkey", "p_type").select("p_partkey", "p_type", "split")
 
 
 @query("""WITH x AS (SELECT DISTINCT user_id AS uid FROM events), r AS (SELECT uid, percent_rank() OVER (ORDER BY md5(uid::VARCHAR), uid) AS r FROM x) SELECT CASE WHEN r < 0.7 THEN 'train' WHEN r < 0.85 THEN 'val' ELSE 'test' END AS split, count(*) AS rows FROM events JOIN r ON uid = user_id GROUP BY 1""")
@@ -52,11 +54,11 @@ def n7_split_by_individual(spark, d):
     return N.split(table(spark, d, "events").select("user_id", "event_id"), "user_id").groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@query("SELECT event_id, value / 20 AS lr_factor, (event_id % 5) / 2.0::DOUBLE AS radius_factor, abs(value / 20 - 1) > 0.01 OR abs((event_id % 5) / 2.0::DOUBLE - 1) > 0.01 AS perturbed FROM events WHERE abs(abs(value / 20 - 1) - 0.01) > 1e-9")
+@query("SELECT event_id, value / 20 AS lr_factor, (event_id % 5) / 2.0::DOUBLE AS radius_factor, round(abs(value / 20 - 1), 9) > 0.01 OR abs((event_id % 5) / 2.0::DOUBLE - 1) > 0.01 AS perturbed FROM events")
 def n5_perturb_mask(spark, d):
     lr, radius = F.col("value") / 20, (F.col("event_id") % 5) / 2.0
-    x = table(spark, d, "events").where(F.abs(F.abs(lr - 1) - 0.01) > 1e-9)
-    return x.select("event_id", lr.alias("lr_factor"), radius.alias("radius_factor"), ((F.abs(lr - 1) > 0.01) | (F.abs(radius - 1) > 0.01)).alias("perturbed"))
+    x = table(spark, d, "events")
+    return x.select("event_id", lr.alias("lr_factor"), radius.alias("radius_factor"), ((F.round(F.abs(lr - 1), 9) > 0.01) | (F.abs(radius - 1) > 0.01)).alias("perturbed"))
 
 
 @query("""WITH s AS (SELECT stddev_pop(l_discount) AS a, stddev_pop(l_tax) AS b FROM lineitem), r AS (SELECT l_orderkey, l_linenumber, l_partkey, l_discount / a + l_tax / b AS raw FROM lineitem, s), m AS (SELECT min(raw) AS lo, max(raw) AS hi FROM r)
@@ -82,10 +84,10 @@ def n9_padded_sequences(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(N.pad(seq, 100, F.lit(0.0)).alias("seq"))
 
 
-@query(f"WITH {CP} SELECT uid, it, round((1 - mqe / 100) + te + 0.5 * dead, 9) AS badness, (1 - mqe / 100) + te + 0.5 * dead > 0.9 AS stop FROM cp WHERE abs((1 - mqe / 100) + te + 0.5 * dead - 0.9) > 1e-9")
+@query(f"WITH {CP} SELECT uid, it, round((1 - mqe / 100) + te + 0.5 * dead, 9) AS badness, round((1 - mqe / 100) + te + 0.5 * dead, 9) > 0.9 AS stop FROM cp")
 def n10_badness(spark, d):
     b = N.badness(F.col("mqe") / 100, F.col("topographic_error"), F.col("dead_neuron_ratio"))
-    return checkpoints(spark, d).where(F.abs(b - 0.9) > 1e-9).select("uid", "it", F.round(b, 9).alias("badness"), (b > 0.9).alias("stop"))
+    return checkpoints(spark, d).select("uid", "it", F.round(b, 9).alias("badness"), (F.round(b, 9) > 0.9).alias("stop"))
 
 
 @query("""WITH f AS (SELECT avg(l_quantity) AS m, stddev_pop(l_quantity) AS s FROM lineitem WHERE l_linenumber < 5) SELECT l_linenumber, round(avg((l_quantity - m) / s), 6) + 0.0::DOUBLE AS mean, round(stddev_pop((l_quantity - m) / s), 6) AS std FROM lineitem, f GROUP BY 1""")

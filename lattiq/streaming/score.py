@@ -40,7 +40,17 @@ def best_so_far(rows: DataFrame, key: str, value: str) -> DataFrame:
 
 
 def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Process what is there, into a memory table of that name."""
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    """Process what is there, into Parquet beside the checkpoint; nothing passes through the driver.
+
+    A batch that is repeated after a failure replaces its own files. In complete mode the
+    last batch holds the whole result.
+    """
+    spark, path = df.sparkSession, f"{checkpoint}-rows"
+
+    def write(batch: DataFrame, no: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={no}")
+
+    spark.createDataFrame([], df.schema).write.parquet(path if mode == "complete" else f"{path}/batch=-1")
+    q = df.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -34,6 +34,34 @@ def test_thresholds_and_violation(spark):
         assert got == pytest.approx(cv)
 
 
+def test_all_fronts_by_peeling(spark):
+    rng = np.random.default_rng(4)
+    rows = [(float(a), float(b), float(c)) for a, b, c in zip(rng.integers(0, 12, 150), rng.integers(0, 12, 150), rng.choice([0, 0, 0, 0.5, 2.0], 150))]
+    df = points(spark, rows)
+
+    def beats(p, q):
+        if p[2] == 0 and q[2] == 0:
+            return p[0] <= q[0] and p[1] <= q[1] and p[:2] != q[:2]
+        return p[2] == 0 or (q[2] != 0 and p[2] < q[2])
+
+    left, want, k = set(rows), {}, 0
+    while left:
+        front = {q for q in left if not any(beats(p, q) for p in left)}
+        want |= {q: k for q in front}
+        left, k = left - front, k + 1
+    for at_once in (20_000, 20):
+        got = pareto.fronts(df, "uid", ["o1", "o2"], "cv", at_once=at_once).collect()
+        assert len(got) == len(rows) and all(want[r.o1, r.o2, r.cv] == r.front for r in got)
+    assert {(r.o1, r.o2, r.cv) for r in pareto.first_front(df, "uid", ["o1", "o2"], "cv").collect()} == {q for q, f in want.items() if f == 0}
+    x = rng.integers(0, 6, (80, 3)).astype(float)
+    x = np.unique(x, axis=0)
+    got3, left3, k = pareto.front_numbers(x), set(range(len(x))), 0
+    while left3:
+        front = {q for q in left3 if not any((x[p] <= x[q]).all() and (x[p] < x[q]).any() for p in left3)}
+        assert all(got3[q] == k for q in front)
+        left3, k = left3 - front, k + 1
+
+
 def test_hypervolume():
     assert pareto.hypervolume(np.array([[0.0, 0.0, 0.0]]), np.ones(3)) == pytest.approx(1)
     assert pareto.hypervolume(np.array([[0.0, 0.5], [0.5, 0.0]]), np.ones(2)) == pytest.approx(0.75)

@@ -180,6 +180,19 @@ def test_connected_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+@pytest.mark.parametrize("rows", [2, 7, 200_000])
+def test_connected_components_in_tasks_of_any_size(spark, rows):
+    rng = np.random.default_rng(rows)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 60, (45, 2))] + [(100, k) for k in range(101, 130)] + [(100, 101)] * 5
+    up: dict[int, int] = {}
+    for _ in range(60):
+        for a, b in pairs:
+            if a != b:
+                up[a] = up[b] = min(up.get(a, a), up.get(b, b))
+    edges = spark.createDataFrame(pairs, "a long, b long").repartition(5)
+    assert {r.node: r.label for r in connected_components(edges, rows).collect()} == up
+
+
 def test_bpe_equals_the_tokenizer(spark, docs, rows, empty):
     from tokenizers import Tokenizer
 

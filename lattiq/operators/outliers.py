@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lattiq.operators.selection import percentiles
 from lattiq.operators.stats import dominant, long_form
 
 PRIORITY = {"multi_dim": 0, "one_of_n": 1, "high_qe": 1, "numeric": 2, "global_extreme": 3, "categorical": 4}
@@ -61,13 +62,15 @@ def one_of_n(df: DataFrame, id_col: str, cluster: str, cols: list[str], least: i
     x = df.join(centre, cluster)
     gap = sum((F.when(F.col(f"_n_{c}") == F.col("n"), (F.col(c) - F.col(f"_{c}")) * (F.col(c) - F.col(f"_{c}"))).otherwise(0.0) for c in cols), F.lit(0.0))
     d = x.select(cluster, id_col, F.round(F.sqrt(gap), 9).alias("dist"))
-    g = d.groupBy(cluster).agg(F.percentile("dist", 0.5).alias("median"), F.min_by(F.struct(F.col(id_col).alias("id"), "dist"), F.struct(-F.col("dist"), F.col(id_col))).alias("far"))
+    median = percentiles(d, [cluster], "dist", [0.5]).select(F.col(cluster).alias("_c"), F.col("q")[0].alias("median"))
+    g = d.groupBy(cluster).agg(F.min_by(F.struct(F.col(id_col).alias("id"), "dist"), F.struct(-F.col("dist"), F.col(id_col))).alias("far"))
+    g = g.join(median, F.col(cluster) == F.col("_c"))
     return g.where((F.col("median") > 0) & (F.col("far.dist") / F.col("median") >= ratio)).select(cluster, F.col("far.id").alias(id_col), F.round(F.col("far.dist") / F.col("median"), 4).alias("ratio"))
 
 
 def high_qe(assigned: DataFrame, id_col: str, local: DataFrame | None = None, factor: float = 2.5) -> DataFrame:
     """Rows whose error is above *factor* times the median, but for those found locally; with their top feature."""
-    middle = assigned.agg(F.percentile("qe", 0.5).alias("_m"))
+    middle = percentiles(assigned, [], "qe", [0.5]).select(F.col("q")[0].alias("_m"))
     x = assigned.join(F.broadcast(middle)).where(F.col("qe") > factor * F.col("_m"))  # one row
     if local is not None:
         x = x.join(local.select(id_col), id_col, "left_anti")

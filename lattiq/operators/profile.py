@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lattiq.operators.selection import percentiles
 from lattiq.operators.sequences import positions
+from lattiq.operators.stats import long_form
 
 NUMERIC = (T.NumericType, T.BooleanType)
 
@@ -70,7 +72,8 @@ def fill_missing(df: DataFrame, cols: list[str]) -> DataFrame:
     """Exact median for numeric columns, the empty string for text."""
     numeric = [c for c in cols if is_numeric(df, c)]
     if numeric:
-        medians = df.agg(*[F.percentile(F.col(c).cast("double"), 0.5).alias(f"_{c}") for c in numeric])
+        found = percentiles(long_form(df, [], numeric), ["feature"], "value", [0.5])
+        medians = found.agg(*[F.max(F.when(F.col("feature") == c, F.col("q")[0])).alias(f"_{c}") for c in numeric])
         df = df.join(F.broadcast(medians))  # one row
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_{c}")) if c in numeric else F.coalesce(c, F.lit("")) for c in cols}
     return df.withColumns(filled).drop(*[f"_{c}" for c in numeric])

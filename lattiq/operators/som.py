@@ -13,9 +13,10 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lattiq.operators.grid import Grid, euclid
+from lattiq.operators.pairwise import neighbour_losses, silhouette_rows
 
 #: Bound on neurons x dimensions of a codebook that may be sent to all tasks.
 MAX_CODEBOOK = 4_000_000
@@ -297,24 +298,13 @@ def distance_sample(df: DataFrame, id_col: str, cap: int = 2000) -> DataFrame:
 
 def trust_continuity(points: DataFrame, id_col: str, vector: str, i: str, j: str, k: int = 5) -> DataFrame:
     """Trustworthiness and continuity at *k* of a sample: neighbours gained and lost by the map."""
-    a, b = points.alias("a"), points.alias("b")
-    grid = F.round(F.hypot(F.col(f"a.{i}") - F.col(f"b.{i}"), F.col(f"a.{j}") - F.col(f"b.{j}")), 9)
-    pairs = a.join(b, F.col(f"a.{id_col}") != F.col(f"b.{id_col}")).select(F.col(f"a.{id_col}").alias("p"), F.col(f"b.{id_col}").alias("q"), F.round(euclid(F.col(f"a.{vector}"), F.col(f"b.{vector}")), 9).alias("dx"), grid.alias("dg"))
-    w = Window.partitionBy("p")
-    r = pairs.withColumns({"rx": F.row_number().over(w.orderBy("dx", "q")), "rg": F.row_number().over(w.orderBy("dg", "q"))})
-    one = r.agg(
-        F.count_distinct("p").alias("n"),
-        F.sum(F.when((F.col("rg") <= k) & (F.col("rx") > k), F.col("rx") - k).otherwise(0)).alias("t"),
-        F.sum(F.when((F.col("rx") <= k) & (F.col("rg") > k), F.col("rg") - k).otherwise(0)).alias("c"),
-    )
+    rows = neighbour_losses(points, id_col, vector, i, j, k)
+    one = rows.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("gained"), F.lit(0)).alias("t"), F.coalesce(F.sum("lost"), F.lit(0)).alias("c"))
     norm = 2.0 / (F.col("n") * k * (2 * F.col("n") - 3 * k - 1))
     return one.select("n", F.lit(k).alias("k"), F.round(1 - norm * F.col("t"), 6).alias("trustworthiness"), F.round(1 - norm * F.col("c"), 6).alias("continuity"))
 
 
 def silhouette(points: DataFrame, id_col: str, vector: str, cluster: str) -> DataFrame:
     """Exact Euclidean silhouette of a sample by cluster; single rows score 0."""
-    a, b = points.alias("a"), points.alias("b")
-    d = a.join(b, F.col(f"a.{id_col}") != F.col(f"b.{id_col}")).groupBy(F.col(f"a.{id_col}").alias("p"), F.col(f"a.{cluster}").alias("own"), F.col(f"b.{cluster}").alias("other")).agg(F.avg(euclid(F.col(f"a.{vector}"), F.col(f"b.{vector}"))).alias("d"))
-    s = d.groupBy("p", "own").agg(F.min(F.when(F.col("own") == F.col("other"), F.col("d"))).alias("a"), F.min(F.when(F.col("own") != F.col("other"), F.col("d"))).alias("b"))
-    value = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b"))
-    return s.groupBy(F.col("own").alias("cluster")).agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(value), 6).alias("silhouette"))
+    rows = silhouette_rows(points, id_col, vector, cluster)
+    return rows.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("s"), 6).alias("silhouette"))

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lattiq.operators.selection import percentiles
+
 
 def long_form(df: DataFrame, ids: list[str], cols: list[str]) -> DataFrame:
     """(ids, feature, value) with one row a cell; nulls are left out."""
@@ -13,8 +17,9 @@ def long_form(df: DataFrame, ids: list[str], cols: list[str]) -> DataFrame:
 
 def global_stats(df: DataFrame, cols: list[str], places: int = 4) -> DataFrame:
     """One row a feature: extremes, mean, deviation, exact percentiles."""
-    q = F.percentile("value", F.array(*[F.lit(p) for p in (0.5, 0.25, 0.75, 0.9, 0.95)]))
-    g = long_form(df, [], cols).groupBy("feature").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"), q.alias("_q"))
+    long = long_form(df, [], cols)
+    q = percentiles(long, ["feature"], "value", [0.5, 0.25, 0.75, 0.9, 0.95]).withColumnRenamed("q", "_q")
+    g = long.groupBy("feature").agg(F.min("value").alias("min"), F.max("value").alias("max"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std")).join(q, "feature")
     names = ("median", "p25", "p75", "p90", "p95")
     full = g.select("feature", "min", "max", "mean", "std", *[F.col("_q")[k].alias(n) for k, n in enumerate(names)])
     return full.select("feature", *[F.round(c, places).alias(c) for c in full.columns[1:]])
@@ -28,15 +33,17 @@ def category_shares(df: DataFrame, col: str, places: int = 6) -> DataFrame:
 
 def cluster_stats(df: DataFrame, cluster: str, cols: list[str], places: int = 4) -> DataFrame:
     """Per cluster and feature: n, mean, median, std (0 for one row), min, max."""
-    g = long_form(df, [cluster], cols).groupBy(cluster, "feature")
-    return g.agg(
+    long = long_form(df, [cluster], cols)
+    g = long.groupBy(cluster, "feature").agg(
         F.count(F.lit(1)).alias("n"),
         F.round(F.avg("value"), places).alias("mean"),
-        F.round(F.percentile("value", 0.5), places).alias("median"),
         F.round(F.coalesce(F.stddev_samp("value"), F.lit(0.0)), places).alias("std"),
         F.min("value").alias("min"),
         F.max("value").alias("max"),
     )
+    q = percentiles(long, [cluster, "feature"], "value", [0.5]).select(F.col(cluster).alias("_c"), F.col("feature").alias("_f"), F.round(F.col("q")[0], places).alias("median"))
+    both = g.join(q, g[cluster].eqNullSafe(q["_c"]) & (g["feature"] == q["_f"]))
+    return both.select(cluster, "feature", "n", "mean", "median", "std", "min", "max")
 
 
 def dominant(df: DataFrame, cluster: str, col: str) -> DataFrame:
@@ -94,7 +101,7 @@ def coverage_metrics(counts: DataFrame, col: str) -> DataFrame:
 
 def quantile_bins(df: DataFrame, col: str, hits: str, bins: int = 10) -> DataFrame:
     """Mean hits and never-hit share in quantile bins of a feature; a value on an edge is in the upper bin."""
-    edges = df.agg(F.percentile(col, F.array(*[F.lit(k / bins) for k in range(1, bins)])).alias("_e"))
+    edges = percentiles(df, [], col, [k / bins for k in range(1, bins)]).select(F.col("q").alias("_e"))
     placed = df.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter("_e", lambda e: e <= F.col(col))))  # one row
     return placed.groupBy("bin").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(hits), 6).alias("mean_hits"), F.round(F.avg((F.col(hits) == 0).cast("double")), 6).alias("never"))
 
@@ -124,6 +131,9 @@ def classification_metrics(df: DataFrame, truth: Column, predicted: Column) -> D
 
 def summary_by(df: DataFrame, keys: list[str], cols: list[str], places: int = 4) -> DataFrame:
     """Per key and metric: n, mean, median, population deviation, extremes and quartiles."""
-    q = F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    g = long_form(df, keys, cols).groupBy(*keys, F.col("feature").alias("metric")).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"), q.alias("_q"))
+    long = long_form(df, keys, cols).withColumnRenamed("feature", "metric")
+    own = [*keys, "metric"]
+    g = long.groupBy(*own).agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.min("value").alias("min"), F.max("value").alias("max"))
+    q = percentiles(long, own, "value", [0.25, 0.5, 0.75]).select(*[F.col(k).alias(f"_{k}") for k in own], F.col("q").alias("_q"))
+    g = g.join(q, reduce(lambda a, b: a & b, [g[k].eqNullSafe(q[f"_{k}"]) for k in own]))
     return g.select(*keys, "metric", "n", *[F.round(c, places).alias(c) for c in ("mean", "std", "min", "max")], *[F.round(F.col("_q")[k], places).alias(n) for k, n in enumerate(("p25", "median", "p75"))])

@@ -215,9 +215,9 @@ class TrainSpec:
     radius_factor: Callable[[dict], float] | None = None
 
 
-def train(df: DataFrame, grid: Grid, features: list[str], spec: TrainSpec = TrainSpec()) -> tuple[Codebook, list[dict]]:
+def train(df: DataFrame, grid: Grid, features: list[str], spec: TrainSpec = TrainSpec(), start: Codebook | None = None) -> tuple[Codebook, list[dict]]:
     """Batch training: a driver loop of epochs, each one Spark job over *df*, with checkpoints."""
-    cb, checkpoints, factor = Codebook.random(grid, features, spec.seed), [], 1.0
+    cb, checkpoints, factor = start or Codebook.random(grid, features, spec.seed), [], 1.0
     first = max(grid.m, grid.n) * spec.start_radius_ratio
     for t in range(spec.epochs):
         share = t / max(1, spec.epochs - 1)

@@ -139,7 +139,7 @@ def shapes(value: str) -> list[str]:
     if 7 <= digits <= 15:
         ok.append("phone")
     if digits and _LETTER.search(value) and len(value) >= 6:
-        return ["secret"] if ok != ["ip"] else ["ip", "secret"]
+        return ["ip", "secret"] if "ip" in ok else ["secret"]  # letters rule out cards and phones
     return ok
 
 
@@ -233,8 +233,8 @@ def bootstrap(found: DataFrame, rounds: int = 3, min_support: int = 3, min_patte
 
 def _added(found: DataFrame, learned: DataFrame) -> DataFrame:
     """Per row: a struct that names it, and the added spans."""
-    free = found.select(_row("doc_id", "key").alias("row"), F.explode("found").alias("m")).where("m.kind IS NULL").select("row", "m.s", "m.e", "m.inst")
-    return free.join(learned, "inst").groupBy("row").agg(F.collect_set(F.struct("kind", "s", "e")).alias("added"))
+    free = found.select(_row("doc_id", "key").alias("row"), F.explode("found").alias("m")).where("m.kind IS NULL").select("row", "m.s", "m.e", "m.inst", F.col("m.seed").isNotNull().alias("seeded"))
+    return free.join(learned, "inst").groupBy("row").agg(F.collect_set(F.struct("kind", "s", "e", "seeded")).alias("added"))
 
 
 def _row(doc_id: Column | str, key: Column | str) -> Column:
@@ -251,16 +251,16 @@ def _joined(spans: Column) -> Column:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Per row: doc_id, key, base and added (arrays of kind, s, e)."""
+    """Per row: doc_id, key, base (array of kind, s, e) and added (with *seeded*: whether its look had made it a seed)."""
     found = materialize(mentions(docs, id_col, text_col), "mentions")
     added = _added(found, bootstrap(found, **options))
     seeds = F.transform(F.filter("found", lambda m: m["kind"].isNotNull()), lambda m: F.struct(m["kind"].alias("kind"), m["s"].alias("s"), m["e"].alias("e")))
-    none = F.array().cast("array<struct<kind:string,s:int,e:int>>")
+    none = F.array().cast("array<struct<kind:string,s:int,e:int,seeded:boolean>>")
     return found.join(added, _row("doc_id", found["key"]) == F.col("row"), "left").select("doc_id", "key", seeds.alias("base"), F.coalesce("added", none).alias("added"))
 
 
 def report(docs: DataFrame, **options) -> DataFrame:
-    """Per row: doc_id, counts of the base kinds, base_sha256, spans, n_added, n_secret (of those added)."""
+    """Per row: doc_id, counts of the base kinds, base_sha256, spans, n_added, and of those n_secret and n_discovered (no seeds)."""
     got = find(docs, **options)
     named = F.transform("base", lambda m: m["kind"])
     counts = [(F.size(named) - F.size(F.array_remove(named, k))).cast("long").alias(f"n_{k}") for k in KINDS]
@@ -268,9 +268,10 @@ def report(docs: DataFrame, **options) -> DataFrame:
         "doc_id",
         *counts,
         F.sha2(_joined(F.col("base")), 256).alias("base_sha256"),
-        _joined(F.concat("base", "added")).alias("spans"),
+        _joined(F.concat("base", F.transform("added", lambda m: F.struct(m["kind"].alias("kind"), m["s"].alias("s"), m["e"].alias("e"))))).alias("spans"),
         F.size("added").cast("long").alias("n_added"),
         F.size(F.filter("added", lambda m: m["kind"] == "secret")).cast("long").alias("n_secret"),
+        F.size(F.filter("added", lambda m: ~m["seeded"])).cast("long").alias("n_discovered"),
     )
 
 

@@ -91,12 +91,17 @@ def plain_bootstrap(mentions, rounds=3, min_support=3, min_pattern=0.7, min_scor
 
 def test_bootstrap_equals_its_definition(spark):
     rng = random.Random(11)
-    values = ["+1 (555) 200-%04d", "555-200-%04d", "user%d@mail.org", "user%d at @host", "password=ab12cd34ef56%06d", "password=x%d", "id: 12345%03d", "10.0.0.%d"]
+    kinds = [  # each kind has contexts of its own, in which seeds and other looks stand
+        (["call me at", "tel"], ["+1 (555) 200-%04d", "+1 (555) 200-%04d", "555-200-%04d"]),
+        (["write to us", "mail"], ["user%d@mail.org", "user%d@mail.org", "user%d@host"]),
+        (["my key is", ""], ["password=ab12cd34ef56%06d", "password=x%05d", "id: 12345%03d"]),
+        (["server at", "host"], ["10.0.0.%d", "10.0.1.%d", "fe80:1:2:%d"]),
+    ]
     rows = []
-    for i in range(160):
+    for i in range(240):
+        heads, values = rng.choice(kinds)
         v = rng.choice(values) % rng.randint(1, 200)
-        head = rng.choice(["call me at", "write to us", "tel", "my key is", ""])
-        rows.append((i, f"{head} {v} {rng.choice(['today', 'now', ''])}"))
+        rows.append((i, f"{rng.choice(heads)} {v} {rng.choice(['today', 'now', ''])}"))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     found = pii.mentions(df)
     got = {r.inst: r.kind for r in pii.bootstrap(found).collect()}
@@ -104,6 +109,59 @@ def test_bootstrap_equals_its_definition(spark):
     assert got == plain_bootstrap(ms) and len(set(got.values())) > 1
 
 
+#: Per kind: a context with seeds, one that only a belief of the first round can teach, a seed, and another look.
+PLANTED = {
+    "email": ("please write to {} about it", "forward copies over {} promptly", "person%d@mail.org", "person%d@intranet"),
+    "ip": ("connect with host {} via ssh", "reboot node number {} overnight", "10.20.30.%d", "fe80:12:7:%d"),
+    "card": ("charge my visa {} once more", "refund old plastic {} quietly", None, "4000 1234 5678 9%03d"),
+    "phone": ("ring me at {} tonight dear", "dial desk line {} quickly then", "+1 (555) 200-%04d", "555-300-%04d"),
+}
+
+
+def card(n):
+    digits = f"411111111111{n:03d}"
+    return digits + next(str(c) for c in range(10) if pii.luhn(digits + str(c)))
+
+
+def planted_documents():
+    """(rows, expected): seeds, unseen values in both contexts, unseen ones in the second context only, and decoys elsewhere."""
+    rng = random.Random(6)
+    rows, want, late = [], {}, set()
+
+    def add(text, value, kind=None, second=False):
+        rows.append((len(rows), text.format(value)))
+        if kind:
+            want[len(rows) - 1] = f"{kind}:{text.index('{}')}:{text.index('{}') + len(value)}"
+            if second:
+                late.add(len(rows) - 1)
+
+    for kind, (first, second, seed, other) in PLANTED.items():
+        for n in range(20):
+            add(first, seed % (n + 1) if seed else card(n))
+        unseen = [v for n in range(100, 1000) if (v := other % n) and not pii.base_spans(v)]
+        for v in unseen[:8]:
+            add(first, v, kind)
+            add(second, v, kind)
+        for v in unseen[8:16]:
+            add(second, v, kind, True)
+        for v in unseen[16:28]:
+            letters = ["".join(rng.choice("abcdefgh") for _ in range(7)) for _ in range(6)]
+            add(f"{letters[0]} {letters[1]} {letters[2]} {{}} {letters[3]} {letters[4]} {letters[5]}", v)
+    return rows, want, late
+
+
+def test_unseen_identifiers_of_each_kind_are_found_over_two_rounds(spark):
+    rows, want, late = planted_documents()
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = pii.report(df).collect()
+    assert {r.doc_id: r.spans for r in got if r.n_added} == want  # recall and precision of 1: decoys are left alone
+    assert sum(r.n_discovered for r in got) == sum(r.n_added for r in got) == len(want) == 4 * 24
+    for r in got:  # base columns are those of the base patterns alone
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone) == tuple(sum(k == kind for k, *_ in plain(rows[r.doc_id][1])) for kind in BASE)
+    once = {r.doc_id for r in pii.report(df, rounds=1).collect() if r.n_added}
+    assert late and not late & once  # the second context is learned from what the first round has found
+
+
 def test_mask_changes_only_spans(spark):
     names = ("added", "_key", "_added", "row", "row_", "key", "found")
     cols = "".join(f", {n} string" for n in names)

@@ -1,7 +1,7 @@
-"""Evolutionary search: gene operators on the driver, evaluations as Spark tasks, ranking as DataFrames.
+"""Evolutionary search: gene operators on the driver, evaluation as scans of the table, ranking as DataFrames.
 
-A population is at most a few hundred configurations. Evaluating them is the work, and
-each evaluation is one task; genes are drawn and crossed by a seeded generator.
+A population is at most a few hundred configurations. Evaluating them is the work: all of them
+train side by side, one scan an iteration; genes are drawn and crossed by a seeded generator.
 """
 
 from __future__ import annotations
@@ -10,13 +10,12 @@ import hashlib
 import json
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from lattiq.functions.scalar import log_interpolate  # noqa: F401  (the same rule for tables)
 from lattiq.operators import pareto
 from lattiq.operators.grid import Grid
-from lattiq.operators.som import neighbourhood, train_online
+from lattiq.operators.many import Config, train_together
 
 
 def uid_of(genes: dict) -> str:
@@ -106,29 +105,20 @@ def tournament(population: list[dict], rng: np.random.Generator, k: int = 3) ->
     return min((population[i] for i in drawn), key=lambda p: (p["front"], -p["crowding"], p["uid"]))
 
 
-def evaluate(spark: SparkSession, data: np.ndarray, population: list[dict]) -> DataFrame:
-    """Train and score each configuration in a task of its own; the training matrix is bounded and broadcast."""
-    if data.nbytes > 200_000_000:
-        raise ValueError("the search takes a bounded training matrix")
-    shared = spark.sparkContext.broadcast(data)
-    rows = [(uid_of(g), json.dumps(g, sort_keys=True)) for g in population]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x, out = shared.value, []
-        for uid, text in zip(pdf["uid"], pdf["genes"], strict=True):
-            g = json.loads(text)
-            grid = Grid(*g.get("map_size", [8, 8]), g.get("map_type", "hex"))
-            w, _, history = train_online(x, grid, {"seed": 42, **g})
-            d = np.sqrt(((x[:, None] - w[None]) ** 2).sum(2)) if x.size * len(w) < 4e7 else np.sqrt(np.maximum((x * x).sum(1)[:, None] + (w * w).sum(1)[None] - 2 * x @ w.T, 0))
-            two = np.argsort(d, axis=1, kind="stable")[:, :2]
-            near = neighbourhood(grid, 1.0)  # influence falls with grid distance
-            te = float((near[two[:, 0], two[:, 1]] < np.exp(-0.75)).mean())
-            dead = float(1 - len(np.unique(two[:, 0])) / grid.size)
-            out.append((uid, text, grid.m, grid.n, float(d.min(1).mean()), history[0]["mqe"], te, dead, float(np.abs(np.diff(w, axis=0)).max())))
-        return pd.DataFrame(out, columns=["uid", "genes", "map_m", "map_n", "mqe", "first_mqe", "te", "dead", "u_max"])
-
-    schema = "uid string, genes string, map_m int, map_n int, mqe double, first_mqe double, te double, dead double, u_max double"
-    return spark.createDataFrame(rows, "uid string, genes string").dropDuplicates(["uid"]).repartition(len(rows), "uid").groupBy("uid").applyInPandas(run, schema)
+def evaluate(df: DataFrame, id_col: str, features: list[str], population: list[dict]) -> list[dict]:
+    """Train and score a whole population side by side: each iteration is one scan of the table for all of them."""
+    configs = []
+    for g in population:
+        own = {k: g[k] for k in ("seed", "iterations", "num_batches", "start_rate", "end_rate", "radius_ratio") if k in g}
+        configs.append(Config(uid_of(g), Grid(*g.get("map_size", [8, 8]), g.get("map_type", "hex")), percent=int(g.get("percent", 10)), reshuffle=bool(g.get("reshuffle", True)), **own))
+    books, scores = train_together(df, id_col, features, configs)
+    by = {c.uid: (c, g, b) for c, g, b in zip(configs, population, books, strict=True)}
+    out = []
+    for s in scores:
+        c, g, b = by[s["uid"]]
+        rough = float(np.abs(np.diff(b.weights, axis=0)).max())
+        out.append({"uid": c.uid, "genes": json.dumps(g, sort_keys=True), "map_m": c.grid.m, "map_n": c.grid.n, "mqe": s["mqe"], "first_mqe": s["first_mqe"], "te": s["te"], "dead": s["dead"], "u_max": rough})
+    return out
 
 
 def ranked(scored: DataFrame, n_rows: int) -> DataFrame:
@@ -137,18 +127,22 @@ def ranked(scored: DataFrame, n_rows: int) -> DataFrame:
     return pareto.crowding(pareto.fronts(x, "uid", ["ratio", "te"], "cv"), "uid", "front", ["ratio", "te"])
 
 
-def search(spark: SparkSession, data: np.ndarray, space: dict, population: int = 8, generations: int = 2, seed: int = 0) -> DataFrame:
-    """Generation loop: evaluate new genes, rank them with the survivors, breed. Returns the last ranked generation."""
-    rng = np.random.default_rng(seed)
+def search(df: DataFrame, id_col: str, features: list[str], space: dict, population: int = 8, generations: int = 2, seed: int = 0) -> DataFrame:
+    """Generation loop: evaluate new genes, rank them with the survivors, breed. Returns the last ranked generation.
+
+    The table is only scanned; what comes to the driver is a population.
+    """
+    spark, rng = df.sparkSession, np.random.default_rng(seed)
+    n_rows = df.count()
     genes = [random_genes(space, rng) for _ in range(population)]
     kept: list[dict] = []
     for generation in range(generations):
         known = {k["uid"] for k in kept}
         new = [g for g in {uid_of(g): g for g in genes}.values() if uid_of(g) not in known]
-        scores = [r.asDict() for r in evaluate(spark, data, new).collect()] if new else []
+        scores = evaluate(df, id_col, features, new) if new else []
         base = [{c: k[c] for c in ("uid", "genes", "map_m", "map_n", "mqe", "first_mqe", "te", "dead", "u_max")} for k in kept]
         table = spark.createDataFrame(base + scores, "uid string, genes string, map_m int, map_n int, mqe double, first_mqe double, te double, dead double, u_max double")
-        kept = [r.asDict() for r in pareto.survivors(ranked(table, len(data)), "uid", population).collect()]  # a population
+        kept = [r.asDict() for r in pareto.survivors(ranked(table, n_rows), "uid", population).collect()]  # a population
         genes, tries = [], 0
         while len(genes) < population and tries < 3 * population:
             tries += 1

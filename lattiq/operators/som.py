@@ -272,8 +272,9 @@ def train_online(x: np.ndarray, grid: Grid, config: dict) -> tuple[np.ndarray, n
             w += rate * h[int(d.sum(1).argmin())][:, None] * (x[r] - w) * seen[r]
             visits[r] += 1
         if t % max(1, steps // 10) == 0 or t == steps - 1:
-            gaps = ((x[:, None] - w[None]) * seen[:, None]) ** 2 if len(x) * w.size < 5e6 else ((x[:1000, None] - w[None]) * seen[:1000, None]) ** 2
-            history.append({"iteration": t, "mqe": float(np.sqrt(gaps.sum(2).min(1)).mean()), "rate": rate})
+            blocks = (((x[s : s + 1024, None] - w[None]) * seen[s : s + 1024, None]) ** 2 for s in range(0, len(x), 1024))
+            nearest_gap = np.concatenate([np.sqrt(g.sum(2).min(1)) for g in blocks])
+            history.append({"iteration": t, "mqe": float(nearest_gap.mean()), "rate": rate})
     return w, visits, history
 
 

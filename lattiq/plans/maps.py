@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from lattiq.functions import scalar
 from lattiq.operators import grid as G
+from lattiq.operators import many as M
 from lattiq.operators import som as S
 from lattiq.operators import stats as A
 from lattiq.plans.registry import query
@@ -119,12 +119,68 @@ def m7_batch_training(spark, d):
     return spark.createDataFrame([(c["iteration"], c["progress"], c["mqe"], c["radius"]) for c in checkpoints], "iteration int, progress double, mqe double, radius double")
 
 
+def _config(k: int) -> M.Config:
+    return M.Config(f"r{k}", G.Grid(5, 5, "square"), seed=k, iterations=12, percent=15 * (k + 1), num_batches=3, reshuffle=k % 2 == 0)
+
+
 @query()
 def m3_m5_online_training(spark, d):
-    sample = table(spark, d, "part").orderBy("p_partkey").select((F.col("p_size") / 50.0).alias("a"), (F.col("p_retailprice") / 2000).alias("b"))
-    x = np.array([tuple(r) for r in sample.collect()])
-    configs = spark.createDataFrame([(f"r{s}", s, 10.0 * (s + 1), s % 2 == 0) for s in range(4)], "uid string, seed long, percent double, reshuffle boolean")
-    return S.train_many(x, G.Grid(5, 5, "square"), configs).drop("weights")
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_size") / 50.0).alias("a"), (F.col("p_retailprice") / 2000).alias("b"))
+    configs = [_config(k) for k in range(4)]
+    _, scores = M.train_together(rows, "p_partkey", ["a", "b"], configs)
+    never = None
+    for c in configs:
+        one = M.visits(rows, "p_partkey", c).agg(F.lit(c.uid).alias("uid"), F.avg((F.col("visits") == 0).cast("double")).alias("never_visited"))
+        never = one if never is None else never.unionByName(one)
+    done = spark.createDataFrame([(s["uid"], s["mqe"], s["first_mqe"], s["te"], s["dead"]) for s in scores], "uid string, mqe double, first_mqe double, te double, dead double")
+    return done.join(never, "uid")
+
+
+def _draw_sql(k: int, t: str, key: str) -> str:
+    """The choice of rows of configuration *k* at iteration *t*, in SQL."""
+    c = _config(k)
+
+    def h(*parts: str) -> str:
+        return f"('0x' || substr(md5({key} || ':{c.seed}' || ':' || " + " || ':' || ".join(parts) + "), 1, 8))::BIGINT * 100"
+
+    section = f"(('0x' || substr(md5({key} || ':{c.seed}'), 1, 8))::BIGINT % {c.num_batches})"
+    if not c.reshuffle:
+        return f"{h(section, repr('draw'), t)} < {c.percent} * 4294967296"
+    turn, low = f"(({t}) * {c.percent} // 100)", f"(({t}) * {c.percent} % 100)"
+    here, after = h(section, turn), h(section, f"({turn} + 1)")
+    return f"(({here} >= {low} * 4294967296 AND {here} < ({low} + {c.percent}) * 4294967296) OR {after} < ({low} + {c.percent} - 100) * 4294967296)"
+
+
+@query(" UNION ALL ".join(f"SELECT 'r{k}' AS uid, p_partkey, sum(({_draw_sql(k, 't', 'p_partkey')})::INTEGER)::INTEGER AS visits FROM part, range(12) x(t) GROUP BY 2" for k in range(2)))
+def m3_a18_sample_visits(spark, d):
+    rows = table(spark, d, "part").select("p_partkey")
+    both = [M.visits(rows, "p_partkey", _config(k)).withColumn("uid", F.lit(f"r{k}")) for k in range(2)]
+    return both[0].unionByName(both[1])
+
+
+def _many_sql() -> str:
+    h = "exp(-pow((abs((a.j - a.i // 2) - (b.j - b.i // 2)) + abs((-(a.j - a.i // 2) - a.i) - (-(b.j - b.i // 2) - b.i)) + abs(a.i - b.i)) / 2.0::DOUBLE, 2) / (2 * pow(1.5::DOUBLE, 2) + 1e-8))"
+    s = ", ".join(f"coalesce(sum(x{k}), 0) AS s{k}, count(x{k}) AS c{k}" for k in range(3))
+    w = ", ".join(f"round(any_value(w{k}) + 0.25 * (sum(h * coalesce(s{k}, 0)) / sum(h * coalesce(c{k}, 0)) - any_value(w{k})), 6) AS w{k}" for k in range(3))
+    picked = " UNION ALL ".join(f"SELECT {k} AS config, id FROM feat WHERE {_draw_sql(k, '5', 'id')}" for k in range(2))
+    return f"""{BASE}, picked AS ({picked}), sums AS (SELECT config, nid, {s} FROM picked JOIN bmu USING (id) JOIN feat USING (id) GROUP BY 1, 2), hh AS (SELECT a.nid AS a, b.nid AS b, {h} AS h FROM cb a, cb b),
+grid AS (SELECT config, hh.*, w0, w1, w2 FROM hh, (SELECT DISTINCT config FROM picked), cb WHERE cb.nid = a)
+SELECT grid.config, a AS nid, {w} FROM grid LEFT JOIN sums ON sums.nid = b AND sums.config = grid.config GROUP BY 1, 2"""
+
+
+@query(_many_sql())
+def m3_m5_sampled_epoch(spark, d):
+    conditions = [M.chosen(F.col("id"), _config(k), F.lit(5)) for k in range(2)]
+    moved = M.epoch(feat(spark, d), [BOOK, BOOK], conditions, [1.5, 1.5], [0.25, 0.25])
+    rows = [(k, nid, *map(float, w)) for k, b in enumerate(moved) for nid, w in enumerate(b.weights)]
+    return spark.createDataFrame(rows, "config int, nid long, w0 double, w1 double, w2 double").select("config", "nid", *[F.round(f"w{k}", 6).alias(f"w{k}") for k in range(3)])
+
+
+@query(f"""{BASE}, best AS (SELECT id, max(nid) FILTER (r = 1) AS a, max(nid) FILTER (r = 2) AS b, sqrt(min(d2) FILTER (r = 1)) AS qe FROM ranked GROUP BY 1)
+SELECT k AS config, count(*) AS n, round(avg(qe), 6) AS mqe, round(avg((NOT EXISTS (SELECT 1 FROM edges WHERE edges.a = best.a AND edges.b = best.b))::INTEGER), 6) AS te, round(1 - count(DISTINCT best.a) / 16.0::DOUBLE, 6) AS dead FROM best, range(2) x(k), (SELECT 1) GROUP BY 1""".replace(f"{BASE},", f"{BASE}, {EDGES},"))
+def e9_population_quality(spark, d):
+    q = M.quality(feat(spark, d), [BOOK, BOOK])
+    return q.select(F.col("config").cast("long").alias("config"), "n", *[F.round(c, 6).alias(c) for c in ("mqe", "te", "dead")])
 
 
 @query(f"{BASE} SELECT i || '_' || j AS neuron_key, coalesce(n, 0) AS hits, coalesce(m, 0)::DOUBLE AS qe_mean, coalesce(x, 0)::DOUBLE AS qe_max FROM cb LEFT JOIN (SELECT nid AS k, count(*) AS n, round(avg(qe), 6) AS m, round(max(qe), 6) AS x FROM bmu GROUP BY 1) ON k = nid")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from lattiq.functions import scalar
@@ -122,13 +121,13 @@ def e13_gene_uid(spark, d):
 def e9_e16_search(spark, d):
     from lattiq.operators.evolve import search
 
-    rows = table(spark, d, "supplier").orderBy("s_suppkey").select(F.col("s_acctbal") / 10000, F.col("s_nationkey") / 25.0).collect()
+    rows = table(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") / 10000).alias("a"), (F.col("s_nationkey") / 25.0).alias("b"))
     space = {
         "map_size": {"type": "discrete_int_pair", "min": 3, "max": 5},
         "map_type": {"type": "categorical", "values": ["hex", "square"]},
         "start_rate": {"type": "float", "min": 0.1, "max": 0.9, "log_scale": True},
         "num_batches": {"type": "int", "min": 1, "max": 4},
-        "iterations": 15,
-        "percent": 20.0,
+        "iterations": 8,
+        "percent": 25,
     }
-    return search(spark, np.array([tuple(r) for r in rows], float), space, population=4, generations=2)
+    return search(rows, "s_suppkey", ["a", "b"], space, population=4, generations=2)

@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lattiq.llm.arrow import unused
+from lattiq.llm.arrow import every, unused
 from lattiq.session import materialize, shuffle_partitions
 
 #: Fixed by the contract: the white space that does not count.
@@ -102,5 +102,5 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     if repeated.isEmpty():
         return stay
     row = unused(docs, "row")
-    first = docs.join(repeated, own == F.col(won)).groupBy(won).agg(F.first(F.struct(*docs.columns)).alias(row))
+    first = docs.join(repeated, own == F.col(won)).groupBy(won).agg(F.first(F.struct(*every(docs))).alias(row))
     return stay.unionByName(first.select(f"{row}.*"))

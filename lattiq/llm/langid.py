@@ -145,15 +145,16 @@ def keep_identified(docs: DataFrame, model: LangModel, text_col: str = "text", m
     """The rows of *docs*, unchanged, whose language is identified with at least *min_score*."""
     import pyarrow as pa
 
-    from lattiq.llm.arrow import small_batches
+    from lattiq.llm.arrow import map_in_place, small_batches
 
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
 
     def run(batches):
         for batch in batches:
-            pred, score = _score_rows(batch.column(batch.schema.get_field_index(text_col)).to_pylist(), shared.value)
+            pred, score = _score_rows(batch.column(at).to_pylist(), shared.value)
             yield batch.filter(pa.array([p != UNKNOWN and s >= min_score for p, s in zip(pred, score, strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_in_place(docs, run)
 

@@ -26,7 +26,7 @@ import re
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lattiq.llm.arrow import map_batches, unused
+from lattiq.llm.arrow import every, map_batches, map_in_place, unused
 from lattiq.session import materialize
 
 KINDS = ("email", "ip", "card", "phone")
@@ -282,8 +282,8 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
     name = unused(docs, "row")
     named = added.select(F.struct("row", "added").alias(name))
     own = _row(F.col(id_col), row_key(F.col(id_col), F.col(text_col)))
-    both = docs.join(named, own == F.col(name)["row"], "left").select(*docs.columns, F.col(name)["added"].alias(name))
-    at = both.columns.index(text_col)
+    both = docs.join(named, own == F.col(name)["row"], "left").select(*every(docs), F.col(name)["added"].alias(name))
+    at = docs.columns.index(text_col)
 
     def run(batches):
         import pyarrow as pa
@@ -297,7 +297,7 @@ def mask(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **opti
             cols = [pa.array(texts, batch.schema.field(i).type) if i == at else batch.column(i) for i in range(batch.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names[:-1])
 
-    return both.mapInArrow(run, docs.schema)
+    return map_in_place(both, run, dropped=1)
 
 
 def masked(text: str, spans: list[tuple[str, int, int]]) -> str:

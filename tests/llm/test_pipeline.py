@@ -26,3 +26,18 @@ def test_stages(spark):
     assert not any(re.search(r"[\w.+-]+@[\w-]+(\.[\w-]+)+", r.text) for r in clean.collect())
     packed = stages["packing"](spark, clean, SF)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in clean.collect()}
+
+
+def test_stages_take_odd_rows_and_names(spark):
+    docs = table(spark, SF, "documents")
+    odd = [(90_001, None, "en", "s", 0), (90_002, "", "en", "s", 0), (90_003, " \t\n", None, None, 0), (90_004, "1234 !!", "en", "s", 7), (None, "日本語 のテキスト", "xx", "s", 9)]
+    both = docs.unionByName(spark.createDataFrame(odd + odd[:2], docs.schema)).unionByName(docs.limit(3))
+    for df in (both.withColumn("a.b", both.doc_id + 1).withColumn("row`s", both.source), both.where("false").withColumn("a.b", both.doc_id)):
+        names, rows = df.columns, df
+        for name, stage in C.STAGES:
+            rows = materialize(stage(spark, rows, SF), "odd")
+            if name != "packing":
+                assert rows.columns == names
+                left = {r.doc_id for r in rows.select("doc_id").collect()}
+                assert not left & {90_001, 90_002, 90_003, 90_004}  # rejected by the first stage: no letters
+        assert {r.doc_id for r in rows.select("doc_id").distinct().collect()} == left

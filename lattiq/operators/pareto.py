@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import bisect
 import functools
 import itertools
 import operator
@@ -10,8 +9,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lattiq.operators.fronts import rank_points
 from lattiq.operators.sequences import positions
 from lattiq.session import materialize
 
@@ -113,27 +113,15 @@ def _own_front(objs: list[str], cv: str):
     return run
 
 
-def fronts(df: DataFrame, uid: str, objs: list[str], cv: str, at_once: int = 20_000) -> DataFrame:
+def fronts(df: DataFrame, uid: str, objs: list[str], cv: str, strip: int = 20_000) -> DataFrame:
     """Front number of each row, for all fronts.
 
-    Feasible points are peeled, front by front; up to *at_once* of them are ranked at once by
-    the same rule. Infeasible rows follow, a front for each violation.
+    Distinct feasible points are ranked in strips of *strip* points (`operators/fronts.py`).
+    Infeasible rows follow, a front for each violation; a missing violation is of the first of them.
     """
-    points = materialize(df.select(*objs, cv).distinct(), "front-points")
-    good = points.where(F.col(cv) < FEASIBLE).select(*objs).distinct()
-    n, parts, done = good.count(), [], 0
-    while n > at_once:
-        first = materialize(first_front(good.withColumn(cv, F.lit(0.0)), uid, objs, cv).drop(cv), "front")
-        parts.append(first.withColumn("front", F.lit(done)))
-        good = materialize(good.join(first, functools.reduce(operator.and_, [good[o].eqNullSafe(first[o]) for o in objs]), "left_anti"), "front-rest")
-        n, done = good.count(), done + 1
-    rows = [tuple(r) for r in good.collect()]  # at_once at most
-    ranks = front_numbers(np.array(rows, float).reshape(-1, len(objs)))
-    schema = T.StructType([*good.schema, T.StructField("front", T.IntegerType())])
-    feasible = df.sparkSession.createDataFrame([(*r, done + int(k)) for r, k in zip(rows, ranks, strict=True)], schema)
-    for p in parts:
-        feasible = feasible.unionByName(p)
-    after = done + (int(ranks.max()) + 1 if len(ranks) else 0)
+    good = materialize(df.where(F.col(cv) < FEASIBLE).select(*objs).distinct(), "front-points")
+    feasible = materialize(rank_points(good, objs, strip), "fronts")
+    after = (feasible.agg(F.max("front")).first()[0] or 0) + 1 if not good.isEmpty() else 0
     bad = df.where(~F.coalesce(F.col(cv) < FEASIBLE, F.lit(False)))
     levels = positions(bad.select(F.col(cv).alias("_cv")).where("_cv IS NOT NULL").distinct(), ["_cv"]).select("_cv", (F.col("position") + after).cast("int").alias("front"))
     behind = bad.join(levels, F.col(cv) == F.col("_cv"), "left").drop("_cv").withColumn("front", F.coalesce("front", F.lit(after)))
@@ -143,33 +131,6 @@ def fronts(df: DataFrame, uid: str, objs: list[str], cv: str, at_once: int = 20_
     return ahead.unionByName(behind)
 
 
-def front_numbers(x: np.ndarray) -> np.ndarray:
-    """Front of each point: one more than the last front with a point that dominates it.
-
-    Points are taken in lexicographic order, so that dominators come first; whether a front
-    dominates a point is monotone in the front's number, which allows a binary search.
-    """
-    out = np.zeros(len(x), np.int64)
-    whole = ~np.isnan(x).any(1)  # a point with a missing objective dominates none and is dominated by none
-    order = [i for i in np.lexsort(x.T[::-1]).tolist() if whole[i]]
-    members: list[list[int]] = []
-    lowest: list[float] = []  # with two objectives a front dominates as its least second one does
-    for i in order:
-        if x.shape[1] == 2:
-            f = bisect.bisect_right(lowest, x[i, 1])
-            lowest[f : f + 1] = [x[i, 1]]
-        else:
-            lo, hi = 0, len(members)
-            while lo < hi:
-                mid = (lo + hi) // 2
-                p = x[members[mid]]
-                lo, hi = (mid + 1, hi) if ((p <= x[i]).all(1) & (p < x[i]).any(1)).any() else (lo, mid)
-            f = lo
-            members[f : f + 1] = [[*(members[f] if f < len(members) else []), i]]
-        out[i] = f
-    return out
-
-
 def crowding(df: DataFrame, uid: str, front: str, objs: list[str]) -> DataFrame:
     """Crowding distance within fronts: ends are infinite, flat objectives count nothing."""
     whole = Window.partitionBy(front)

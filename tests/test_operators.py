@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lattiq.operators import catalog as R
-from lattiq.operators import evolve, pareto, sequences, verify
+from lattiq.operators import evolve, fronts, pareto, sequences, verify
 from lattiq.operators.generators import benchmark
 from lattiq.sources import sinks, tables
 
@@ -49,17 +49,39 @@ def test_all_fronts_by_peeling(spark):
         front = {q for q in left if not any(beats(p, q) for p in left)}
         want |= {q: k for q in front}
         left, k = left - front, k + 1
-    for at_once in (20_000, 20):
-        got = pareto.fronts(df, "uid", ["o1", "o2"], "cv", at_once=at_once).collect()
+    for strip in (20_000, 20):
+        got = pareto.fronts(df, "uid", ["o1", "o2"], "cv", strip=strip).collect()
         assert len(got) == len(rows) and all(want[r.o1, r.o2, r.cv] == r.front for r in got)
     assert {(r.o1, r.o2, r.cv) for r in pareto.first_front(df, "uid", ["o1", "o2"], "cv").collect()} == {q for q, f in want.items() if f == 0}
-    x = rng.integers(0, 6, (80, 3)).astype(float)
-    x = np.unique(x, axis=0)
-    got3, left3, k = pareto.front_numbers(x), set(range(len(x))), 0
-    while left3:
-        front = {q for q in left3 if not any((x[p] <= x[q]).all() and (x[p] < x[q]).any() for p in left3)}
-        assert all(got3[q] == k for q in front)
-        left3, k = left3 - front, k + 1
+
+
+def peeled(x):
+    """Front of each row of *x* by brute force."""
+    out, left, k = {}, set(map(tuple, x.tolist())), 0
+    while left:
+        front = {q for q in left if not any(p != q and all(a <= b for a, b in zip(p, q)) for p in left)}
+        out |= {q: k for q in front}
+        left, k = left - front, k + 1
+    return out
+
+
+def test_ranks_in_strips_equal_peeling(spark):
+    rng = np.random.default_rng(9)
+    for x, strip in ((rng.integers(0, 30, (300, 2)), 40), (np.c_[np.zeros(60), np.arange(60)], 13), (np.c_[np.arange(50), 50 - np.arange(50)], 7), (rng.integers(0, 6, (120, 3)), 25), (rng.integers(0, 9, (30, 1)), 4)):
+        x = np.unique(x.astype(float), axis=0)
+        objs = [f"o{k}" for k in range(x.shape[1])]
+        got = fronts.rank_points(spark.createDataFrame(x.tolist(), ", ".join(f"{o} double" for o in objs)), objs, strip).collect()
+        assert {tuple(r)[:-1]: r.front for r in got} == peeled(x) and len(got) == len(x)
+
+
+def test_ranks_of_missing_objectives_and_of_no_points(spark):
+    schema = "o1 double, o2 double"
+    got = fronts.rank_points(spark.createDataFrame([(0.0, 0.0), (1.0, 1.0), (None, 9.0), (9.0, float("nan"))], schema), ["o1", "o2"], 1)
+    assert sorted(r.front for r in got.collect()) == [0, 0, 0, 1]
+    for objs in (["o1", "o2"], ["o1", "o2", "o3"]):
+        none = spark.createDataFrame([], schema + ", o3 double").select(*objs)
+        assert fronts.rank_points(none, objs).collect() == []
+        assert pareto.fronts(none.withColumn("cv", F.lit(0.0)), "o1", objs, "cv").collect() == []
 
 
 def test_hypervolume():

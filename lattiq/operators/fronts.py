@@ -61,7 +61,7 @@ def _by_grid(points: DataFrame, objs: list[str], strip: int) -> DataFrame:
         made[w] = spark.read.schema(CELL).parquet(path)
     if not made:
         return points.withColumn("front", F.lit(0)).where(F.lit(False))
-    ranked = spark.read.schema(CELL).parquet(f"{root}/ranked/wave=*").where("kind = 'point'").select(F.col("x").alias("_x"), "front")
+    ranked = spark.read.schema(CELL).parquet(f"{root}/ranked").where("kind = 'point'").select(F.col("x").alias("_x"), "front")
     return cells.join(ranked, "_x").select(*points.columns, "front")
 
 

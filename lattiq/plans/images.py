@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from lattiq.plans.registry import query
-from lattiq.session import scratch_root, table
+from lattiq.session import scratch_root, shuffle_partitions, table
 from lattiq.sources import image_sets as I
 
 #: The files Spark writes stand for images: a folder a map, in one of two places.
@@ -32,7 +32,7 @@ def images(spark, d):
     rows = results(spark, d).select(F.col("dataset_name").alias("dataset"), "uid", F.col("map_size").alias("value"))
     for place, every in (("best", 40), ("spare", 60)):
         part = rows.where(F.col("uid") % every == 0)
-        part.repartition("dataset").write.partitionBy("dataset", "uid").text(f"{root}/{place}")
+        part.repartition(shuffle_partitions(spark), "uid").write.partitionBy("dataset", "uid").text(f"{root}/{place}")
     return I.image_files(spark, root, WRITTEN, "*.txt")
 
 

@@ -1,12 +1,8 @@
-"""Structured Streaming: stateless map scoring of new rows, windowed counts, and a controller with state."""
+"""Structured Streaming: stateless map scoring of new rows, windowed counts, and running a stream over what is there."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from lattiq.operators.som import Codebook, assign
 
@@ -26,31 +22,19 @@ def windowed_counts(rows: DataFrame, time: str, kind: str, width: str = "1 hour"
     return w.agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").cast("timestamp_ntz").alias("start"), kind, "n")
 
 
-def best_so_far(rows: DataFrame, key: str, value: str) -> DataFrame:
-    """Best value seen of each key, updated as rows arrive."""
-
-    def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        best, n = state.get if state.exists else (float("inf"), 0)
-        for f in frames:
-            best, n = min(best, float(f[value].min())), n + len(f)
-        state.update((best, n))
-        yield pd.DataFrame({key: [k[0]], "best": [best], "n": [n]})
-
-    return rows.groupBy(key).applyInPandasWithState(run, f"{key} long, best double, n long", "best double, n long", "update", GroupStateTimeout.NoTimeout)
-
-
 def run_once(df: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
     """Process what is there, into Parquet beside the checkpoint; nothing passes through the driver.
 
     A batch that is repeated after a failure replaces its own files. In complete mode the
-    last batch holds the whole result.
+    last batch holds the whole result. With the checkpoint of an earlier call only new
+    files are read, and the rows of all calls come back.
     """
     spark, path = df.sparkSession, f"{checkpoint}-rows"
 
     def write(batch: DataFrame, no: int) -> None:
         batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={no}")
 
-    spark.createDataFrame([], df.schema).write.parquet(path if mode == "complete" else f"{path}/batch=-1")
+    spark.createDataFrame([], df.schema).write.mode("ignore").parquet(path if mode == "complete" else f"{path}/batch=-1")
     q = df.writeStream.foreachBatch(write).queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(path).select(*df.columns)

@@ -102,16 +102,3 @@ def r16_health(spark, d):
 @query("SELECT DISTINCT n_name AS name FROM nation JOIN supplier ON s_nationkey = n_nationkey")
 def r17_datasets_in_use(spark, d):
     return table(spark, d, "nation").join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select(F.col("n_name").alias("name")).distinct()
-
-
-@query()
-def v4_context_text(spark, d):
-    """Lines of a plain-text report on the map, section by section."""
-    from lattiq.operators.stats import dominant, global_stats
-    from lattiq.plans.maps import assigned, feat
-
-    a = assigned(spark, d)
-    g = global_stats(feat(spark, d), ["x0", "x1", "x2"]).select(F.lit("1 features").alias("section"), F.format_string("%s: mean %.4f, std %.4f", "feature", "mean", "std").alias("line"))
-    c = a.groupBy("bmu_key").agg(F.count(F.lit(1)).alias("n"), F.avg("qe").alias("q")).join(dominant(a, "bmu_key", "cat"), "bmu_key")
-    c = c.orderBy(F.desc("n"), "bmu_key").limit(50).select(F.lit("2 clusters").alias("section"), F.format_string("%s: %d rows, error %.4f, mostly %s", "bmu_key", "n", "q", "dominant").alias("line"))
-    return g.unionByName(c)

@@ -84,6 +84,12 @@ def replace_clusters(clusters: DataFrame, new: DataFrame) -> DataFrame:
     return clusters.join(new.select("run_id", "neuron_key"), ["run_id", "neuron_key"], "left_anti").unionByName(new)
 
 
+def append_to_run(df: DataFrame, rows: DataFrame, runs: DataFrame, run_id) -> DataFrame:
+    """Bulk upload of assignments or anomalies: rows are added under the run, which must exist; those there stay as they are."""
+    one(runs, "id", run_id)
+    return df.unionByName(rows.withColumn("run_id", F.lit(run_id).cast(df.schema["run_id"].dataType)), allowMissingColumns=True)
+
+
 def list_clusters(clusters: DataFrame, errors: DataFrame, run_id, sort_by: str = "neuron_key", top: int = 0) -> DataFrame:
     """Clusters of a run with their errors; *top* 0 gives all."""
     if sort_by not in SORT_KEYS or top < 0:

@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 _QUERIES: dict[str, Callable] = {}
 _SQL: dict[str, str] = {}
-MODULES = ("prepare", "describe", "order", "maps", "outliers", "search", "verify", "sequences", "runs", "engine", "reports", "models", "images", "streams")
+MODULES = ("prepare", "describe", "order", "maps", "outliers", "search", "verify", "sequences", "runs", "engine", "reports", "models", "studies", "images", "streams")
 
 
 def query(sql: str | None = None) -> Callable:

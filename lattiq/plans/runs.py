@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from lattiq.operators import catalog as R
@@ -102,3 +104,22 @@ def r16_health(spark, d):
 @query("SELECT DISTINCT n_name AS name FROM nation JOIN supplier ON s_nationkey = n_nationkey")
 def r17_datasets_in_use(spark, d):
     return table(spark, d, "nation").join(table(spark, d, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left_semi").select(F.col("n_name").alias("name")).distinct()
+
+
+@query("""SELECT l_suppkey AS run_id, count(*) AS n, max(l_orderkey * 10 + l_linenumber) AS last FROM lineitem WHERE l_suppkey <> 3 GROUP BY 1
+UNION ALL SELECT 3, (SELECT count(*) FROM lineitem WHERE l_suppkey = 3) + (SELECT count(*) FROM events), greatest((SELECT max(l_orderkey * 10 + l_linenumber) FROM lineitem WHERE l_suppkey = 3), (SELECT max(event_id) FROM events))""")
+def r8_append_assignments(spark, d):
+    """Events are uploaded as assignments of run 3; counts and last samples of all runs follow."""
+    known = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("run_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("sample_id"))
+    runs = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"))
+    new = table(spark, d, "events").select(F.col("event_id").alias("sample_id"))
+    return R.append_to_run(known, new, runs, 3).groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.max("sample_id").alias("last"))
+
+
+@query("""SELECT 'searches' AS name, count(*) AS left_over FROM nation WHERE n_nationkey <> 4 UNION ALL SELECT 'members', count(*) FROM supplier WHERE s_nationkey <> 4 UNION ALL SELECT 'genes', count(*) FROM customer WHERE c_nationkey <> 4 UNION ALL SELECT 'regions', count(*) FROM region""")
+def r15_delete_search(spark, d):
+    """A search goes with its members and genes; tables that do not name it stay whole."""
+    t = {"searches": table(spark, d, "nation").select(F.col("n_nationkey").alias("id")), "members": table(spark, d, "supplier").select(F.col("s_nationkey").alias("search_id")), "genes": table(spark, d, "customer").select(F.col("c_nationkey").alias("search_id")), "regions": table(spark, d, "region")}
+    left = R.delete_cascade(t, "searches", "id", 4, "search_id")
+    counts = [x.agg(F.count(F.lit(1)).alias("left_over")).select(F.lit(n).alias("name"), "left_over") for n, x in left.items()]
+    return reduce(lambda a, b: a.unionByName(b), counts)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 from lattiq.functions.scalar import log_interpolate  # noqa: F401  (the same rule for tables)
 from lattiq.operators import pareto
 from lattiq.operators.grid import Grid
-from lattiq.operators.many import Config, train_together
+from lattiq.operators.many import Config, roughness, train_together
 
 
 def uid_of(genes: dict) -> str:
@@ -116,33 +116,50 @@ def evaluate(df: DataFrame, id_col: str, features: list[str], population: list[d
     out = []
     for s in scores:
         c, g, b = by[s["uid"]]
-        rough = float(np.abs(np.diff(b.weights, axis=0)).max())
-        out.append({"uid": c.uid, "genes": json.dumps(g, sort_keys=True), "map_m": c.grid.m, "map_n": c.grid.n, "mqe": s["mqe"], "first_mqe": s["first_mqe"], "te": s["te"], "dead": s["dead"], "u_max": rough})
+        out.append({"uid": c.uid, "genes": json.dumps(g, sort_keys=True), "map_m": c.grid.m, "map_n": c.grid.n, "mqe": s["mqe"], "first_mqe": s["first_mqe"], "te": s["te"], "dead": s["dead"], "u_max": roughness(b), "d_max": s["d_max"]})
     return out
 
 
-def ranked(scored: DataFrame, n_rows: int) -> DataFrame:
-    limit = pareto.dead_threshold(F.col("map_m"), F.col("map_n"), F.lit(float(n_rows)))
-    x = scored.withColumns({"ratio": F.round(F.col("mqe") / F.greatest("first_mqe", F.lit(1e-10)), 9), "cv": F.round(pareto.constraint_violation(F.col("u_max"), F.lit(0.0), F.col("dead"), limit), 9)})
+SCORES = "uid string, genes string, map_m int, map_n int, mqe double, first_mqe double, te double, dead double, u_max double, d_max double"
+
+
+def calibrate(df: DataFrame, id_col: str, features: list[str], space: dict, probes: int = 15, share: float = 0.3, seed: int = 0) -> tuple[float, DataFrame]:
+    """(limit of disorder, scored probes): random configurations are trained side by side for a share of their iterations.
+
+    The limit is the 70th percentile of the larger of the U-matrix maximum and the largest mean error of a neuron, over
+    the probes that have any disorder; 1.0 without such probes.
+    """
+    rng = np.random.default_rng(seed)
+    genes = [random_genes(space, rng) for _ in range(probes)]
+    drawn = list({uid_of(g): g | {"iterations": max(1, round(share * g.get("iterations", 15)))} for g in genes}.values())
+    scores = evaluate(df, id_col, features, drawn) if drawn else []
+    table = df.sparkSession.createDataFrame(scores, SCORES).withColumn("org_max", F.greatest("u_max", "d_max"))
+    return float(pareto.calibrated_limit(table.where("org_max > 0"), "org_max").first()["limit"]), table
+
+
+def ranked(scored: DataFrame, n_rows: int, limit: float = 1.0) -> DataFrame:
+    most = pareto.dead_threshold(F.col("map_m"), F.col("map_n"), F.lit(float(n_rows)))
+    x = scored.withColumns({"ratio": F.round(F.col("mqe") / F.greatest("first_mqe", F.lit(1e-10)), 9), "cv": F.round(pareto.constraint_violation(F.col("u_max"), F.col("d_max"), F.col("dead"), most, limit), 9)})
     return pareto.crowding(pareto.fronts(x, "uid", ["ratio", "te"], "cv"), "uid", "front", ["ratio", "te"])
 
 
-def search(df: DataFrame, id_col: str, features: list[str], space: dict, population: int = 8, generations: int = 2, seed: int = 0) -> DataFrame:
+def search(df: DataFrame, id_col: str, features: list[str], space: dict, population: int = 8, generations: int = 2, seed: int = 0, probes: int = 0) -> DataFrame:
     """Generation loop: evaluate new genes, rank them with the survivors, breed. Returns the last ranked generation.
 
-    The table is only scanned; what comes to the driver is a population.
+    With *probes* the limit of disorder is calibrated first. The table is only scanned; what comes to the driver is a population.
     """
     spark, rng = df.sparkSession, np.random.default_rng(seed)
     n_rows = df.count()
+    limit = calibrate(df, id_col, features, space, probes, seed=seed + 1)[0] if probes else 1.0
     genes = [random_genes(space, rng) for _ in range(population)]
     kept: list[dict] = []
     for generation in range(generations):
         known = {k["uid"] for k in kept}
         new = [g for g in {uid_of(g): g for g in genes}.values() if uid_of(g) not in known]
         scores = evaluate(df, id_col, features, new) if new else []
-        base = [{c: k[c] for c in ("uid", "genes", "map_m", "map_n", "mqe", "first_mqe", "te", "dead", "u_max")} for k in kept]
-        table = spark.createDataFrame(base + scores, "uid string, genes string, map_m int, map_n int, mqe double, first_mqe double, te double, dead double, u_max double")
-        kept = [r.asDict() for r in pareto.survivors(ranked(table, n_rows), "uid", population).collect()]  # a population
+        base = [{c: k[c] for c in ("uid", "genes", "map_m", "map_n", "mqe", "first_mqe", "te", "dead", "u_max", "d_max")} for k in kept]
+        table = spark.createDataFrame(base + scores, SCORES)
+        kept = [r.asDict() for r in pareto.survivors(ranked(table, n_rows, limit), "uid", population).collect()]  # a population
         genes, tries = [], 0
         while len(genes) < population and tries < 3 * population:
             tries += 1

@@ -140,7 +140,11 @@ def epoch(df: DataFrame, books: list[Codebook], conditions: list[Column], radii:
 
 
 def quality(df: DataFrame, books: list[Codebook]) -> DataFrame:
-    """(config, n, mqe, te, dead): mean error, share of rows whose two best neurons are no neighbours, share of unused neurons; all rows, one scan."""
+    """(config, n, mqe, te, dead, d_max) over all rows, in one scan.
+
+    Mean error, share of rows whose two best neurons are no neighbours, share of unused neurons, and the largest
+    mean error of a neuron.
+    """
 
     def fold(no: int, book: Codebook, x: np.ndarray, seen: np.ndarray) -> dict:
         near, gap = _two_nearest(x, seen, book.weights)
@@ -154,7 +158,24 @@ def quality(df: DataFrame, books: list[Codebook]) -> DataFrame:
     parts = _scan(df, books, [F.lit(True)] * len(books), "config int, nid int, n long, gap double, apart double", fold)
     sizes = F.element_at(F.array(*[F.lit(b.grid.size) for b in books]), F.col("config") + 1)
     n = F.sum("n")
-    return parts.groupBy("config").agg(n.alias("n"), (F.sum("gap") / n).alias("mqe"), (F.sum("apart") / n).alias("te"), F.count_distinct("nid").alias("used")).select("config", "n", "mqe", "te", (1 - F.col("used") / sizes).alias("dead"))
+    neurons = parts.groupBy("config", "nid").agg(*[F.sum(c).alias(c) for c in ("n", "gap", "apart")])
+    whole = neurons.groupBy("config").agg(n.alias("n"), (F.sum("gap") / n).alias("mqe"), (F.sum("apart") / n).alias("te"), F.count(F.lit(1)).alias("used"), F.max(F.col("gap") / F.col("n")).alias("d_max"))
+    return whole.select("config", "n", "mqe", "te", (1 - F.col("used") / sizes).alias("dead"), "d_max")
+
+
+def roughness(book: Codebook) -> float:
+    """Largest cell of the rook U-matrix: summed distance of a neuron's weights to those beside it, over 4 less one for each border."""
+    m, n = book.grid.m, book.grid.n
+    w = book.weights.reshape(m, n, -1)
+    down, right = (np.linalg.norm(np.diff(w, axis=k), axis=2) for k in (0, 1))
+    total = np.zeros((m, n))
+    total[:-1] += down
+    total[1:] += down
+    total[:, :-1] += right
+    total[:, 1:] += right
+    i, j = np.indices((m, n))
+    borders = (i == 0).astype(int) + (j == 0) + ((i == m - 1) & (m > 1)) + ((j == n - 1) & (n > 1))
+    return float((total / (4 - borders)).max())
 
 
 def train_together(df: DataFrame, id_col: str, features: list[str], configs: list[Config]) -> tuple[list[Codebook], list[dict]]:

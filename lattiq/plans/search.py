@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lattiq.functions import scalar
 from lattiq.operators import pareto as E
+from lattiq.plans.maps import FEAT, FEATURES, GRID, feat
 from lattiq.plans.registry import query
 from lattiq.session import table
 
@@ -84,6 +86,28 @@ def a33_calibration(spark, d):
     return E.calibrated_limit(probes, "top")
 
 
+_PROBES = ((0, 37), (1, 5), (2, 11))
+_PROBE_SQL = f"""WITH {FEAT}, cb AS (SELECT c, k AS nid, k // 4 AS i, k % 4 AS j, {', '.join(f'((k * a + {x * 11}) % 16) / 16.0::DOUBLE + 1 / 32.0::DOUBLE AS w{x}' for x in range(3))} FROM range(16) t(k), (VALUES {', '.join(map(str, _PROBES))}) v(c, a)),
+e AS (SELECT c, id, nid, {', '.join(f'coalesce(x{x} - w{x}, 0) AS e{x}' for x in range(3))} FROM feat, cb), d AS (SELECT c, nid, sqrt(e0 * e0 + e1 * e1 + e2 * e2) AS qe, row_number() OVER (PARTITION BY c, id ORDER BY e0 * e0 + e1 * e1 + e2 * e2, nid) AS r FROM e),
+dm AS (SELECT c, max(m) AS d_max FROM (SELECT c, nid, avg(qe) AS m FROM d WHERE r = 1 GROUP BY 1, 2) GROUP BY 1),
+um AS (SELECT c, max(u) AS u_max FROM (SELECT a.c, a.nid, avg(sqrt(pow(a.w0 - b.w0, 2) + pow(a.w1 - b.w1, 2) + pow(a.w2 - b.w2, 2))) AS u FROM cb a JOIN cb b ON a.c = b.c AND abs(a.i - b.i) + abs(a.j - b.j) = 1 GROUP BY 1, 2) GROUP BY 1),
+o AS (SELECT c, u_max, d_max, greatest(u_max, d_max) AS m FROM um JOIN dm USING (c))"""
+
+
+@query(f"""{_PROBE_SQL} SELECT c AS config, round(u_max, 6) AS u_max, round(d_max, 6) AS d_max, round(m, 6) AS org_max, round((SELECT quantile_cont(m, 0.7) FROM o), 6) AS "limit" FROM o""")
+def a33_probe_limits(spark, d):
+    """Disorder of three probe maps over all orders, and the limit it calibrates."""
+    from lattiq.operators import many
+    from lattiq.operators.som import Codebook
+
+    k, x = np.meshgrid(np.arange(16), np.arange(3), indexing="ij")
+    books = [Codebook(GRID, tuple(FEATURES), ((k * a + x * 11) % 16) / 16.0 + 1 / 32) for _, a in _PROBES]
+    rough = spark.createDataFrame([(no, many.roughness(b)) for no, b in enumerate(books)], "config int, u_max double")
+    probes = many.quality(feat(spark, d), books).join(rough, "config").withColumn("org_max", F.greatest("u_max", "d_max"))
+    limit = E.calibrated_limit(probes.where("org_max > 0"), "org_max").select("limit")
+    return probes.join(F.broadcast(limit)).select("config", *[F.round(c, 6).alias(c) for c in ("u_max", "d_max", "org_max")], "limit")  # one row
+
+
 @query(f"WITH {CAND} SELECT DISTINCT q.uid FROM cand q JOIN cand p ON {DOM}")
 def e18_dominated_members(spark, d):
     return E.dominated_members(candidates(spark, d), "uid", OBJS, "cv").select("uid")
@@ -130,4 +154,4 @@ def e9_e16_search(spark, d):
         "iterations": 8,
         "percent": 25,
     }
-    return search(rows, "s_suppkey", ["a", "b"], space, population=4, generations=2)
+    return search(rows, "s_suppkey", ["a", "b"], space, population=4, generations=2, probes=3)

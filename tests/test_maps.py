@@ -122,3 +122,24 @@ def test_online_training_and_sampling():
     x = np.random.default_rng(1).random((60, 2))
     w, visits, history = S.train_online(x, G.Grid(4, 4, "square"), {"seed": 3, "iterations": 30})
     assert history[-1]["mqe"] < history[0]["mqe"] and w.shape == (16, 2) and visits.sum() == 30 * 6
+
+
+def test_roughness_is_the_u_matrix_maximum(spark):
+    from lattiq.operators import many
+
+    for m, n in ((4, 4), (3, 5), (1, 4), (4, 1)):
+        g = G.Grid(m, n, "hex")
+        cb = S.Codebook.random(g, ["a", "b"], 3)
+        assert many.roughness(cb) == pytest.approx(G.u_matrix_metrics(cb.frame(spark), g).first()["u_max"], abs=1e-6)
+
+
+def test_calibration_takes_the_larger_disorder(spark):
+    from lattiq.operators import evolve
+
+    rows = spark.range(200).select("id", (F.col("id") % 10 / 10.0).alias("a"), (F.col("id") % 7 / 7.0).alias("b"))
+    space = {"map_size": {"type": "discrete_int_pair", "min": 2, "max": 4}, "start_rate": {"type": "float", "min": 0.1, "max": 0.9}, "iterations": 10, "percent": 50}
+    limit, probes = evolve.calibrate(rows, "id", ["a", "b"], space, probes=5, seed=3)
+    tops = sorted(max(r.u_max, r.d_max) for r in probes.collect())
+    assert len(tops) == 5 and limit == pytest.approx(np.percentile(tops, 70), abs=1e-5)
+    assert all('"iterations": 3' in r.genes for r in probes.collect())
+    assert evolve.calibrate(rows, "id", ["a", "b"], space, probes=0)[0] == 1.0

@@ -15,6 +15,15 @@ def clamp(x: Column, low: Column | float, high: Column | float) -> Column:
     return F.greatest(low, F.least(high, x))
 
 
+def round_binary(x: Column, places: int) -> Column:
+    """Rounding as DuckDB and numpy do it: the product with a power of ten is rounded, halves away from zero.
+
+    Spark's own rounding takes the decimal digits instead, so that 999.65 / 1000, a little under 0.99965, goes down.
+    """
+    power = F.lit(10.0**places)
+    return F.round(x * power) / power
+
+
 def neuron_key(i: Column, j: Column) -> Column:
     return F.concat_ws("_", i, j)
 

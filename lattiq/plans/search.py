@@ -19,9 +19,9 @@ DOM = "(CASE WHEN p.cv < 1e-9 AND q.cv < 1e-9 THEN p.o1 <= q.o1 AND p.o2 <= q.o2
 def candidates(spark, d):
     return table(spark, d, "supplier").select(
         F.col("s_suppkey").alias("uid"),
-        F.round(F.col("s_acctbal") / 10000, 4).alias("o1"),
-        F.round((F.col("s_suppkey") * 37 % 101) / 101.0, 4).alias("o2"),
-        F.when(F.col("s_acctbal") < 0, F.round(-F.col("s_acctbal") / 1000, 4)).otherwise(0.0).alias("cv"),
+        scalar.round_binary(F.col("s_acctbal") / 10000, 4).alias("o1"),
+        scalar.round_binary((F.col("s_suppkey") * 37 % 101) / 101.0, 4).alias("o2"),
+        F.when(F.col("s_acctbal") < 0, scalar.round_binary(-F.col("s_acctbal") / 1000, 4)).otherwise(0.0).alias("cv"),
         F.col("s_nationkey").alias("grp"),
     )
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lattiq.operators.selection import percentiles
 from lattiq.operators.stats import dominant, long_form
+from lattiq.session import materialize
 
 PRIORITY = {"multi_dim": 0, "one_of_n": 1, "high_qe": 1, "numeric": 2, "global_extreme": 3, "categorical": 4}
 
@@ -69,8 +70,11 @@ def one_of_n(df: DataFrame, id_col: str, cluster: str, cols: list[str], least: i
 
 
 def high_qe(assigned: DataFrame, id_col: str, local: DataFrame | None = None, factor: float = 2.5) -> DataFrame:
-    """Rows whose error is above *factor* times the median, but for those found locally; with their top feature."""
-    middle = percentiles(assigned, [], "qe", [0.5]).select(F.col("q")[0].alias("_m"))
+    """Rows whose error is above *factor* times the median, but for those found locally; with their top feature.
+
+    The errors are written once, as the median takes several passes over them.
+    """
+    middle = percentiles(materialize(assigned.select("qe"), "errors"), [], "qe", [0.5]).select(F.col("q")[0].alias("_m"))
     x = assigned.join(F.broadcast(middle)).where(F.col("qe") > factor * F.col("_m"))  # one row
     if local is not None:
         x = x.join(local.select(id_col), id_col, "left_anti")

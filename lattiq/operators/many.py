@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lattiq.operators.grid import Grid
 from lattiq.operators.som import MAX_CODEBOOK, Codebook, neighbourhood
+from lattiq.session import materialize, shuffle_partitions
 
 
 @dataclass(frozen=True)
@@ -51,23 +52,51 @@ def _hash(parts: list) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long")
 
 
+def _section(row_id: Column, config: Config) -> Column:
+    return F.pmod(_hash([row_id, config.seed]), F.lit(config.num_batches))
+
+
+def _in_part(here: Column, after: Column, begin: Column, percent: int) -> Column:
+    """Whether the part that begins at *begin* per cent holds a row, by its places in that permutation and the next one."""
+    unit, low = F.lit(1 << 32), F.pmod(begin, F.lit(100))
+    return ((here >= low * unit) & (here < (low + percent) * unit)) | (after < (low + percent - 100) * unit)
+
+
 def chosen(row_id: Column, config: Config, t: Column) -> Column:
     """Whether iteration *t* trains on a row; each section has permutations of its own."""
-    section = F.pmod(_hash([row_id, config.seed]), F.lit(config.num_batches))
-    unit, percent = F.lit(1 << 32), F.lit(config.percent)
+    section = _section(row_id, config)
     if not config.reshuffle:
-        return _hash([row_id, config.seed, section, "draw", t]) * 100 < percent * unit
-    begin = t * percent
-    turn, low = F.floor(begin / 100), F.pmod(begin, F.lit(100))
-    here = _hash([row_id, config.seed, section, turn]) * 100
-    after = _hash([row_id, config.seed, section, turn + 1]) * 100
-    return ((here >= low * unit) & (here < (low + percent) * unit)) | (after < (low + percent - 100) * unit)
+        return _hash([row_id, config.seed, section, "draw", t]) * 100 < F.lit(config.percent) * F.lit(1 << 32)
+    begin = t * config.percent
+    turn = F.floor(begin / 100)
+    here, after = (_hash([row_id, config.seed, section, x]) * 100 for x in (turn, turn + 1))
+    return _in_part(here, after, begin, config.percent)
 
 
 def visits(df: DataFrame, id_col: str, config: Config) -> DataFrame:
-    """(id, visits): how many iterations train on each row."""
-    one = F.aggregate(F.sequence(F.lit(0), F.lit(config.iterations - 1)), F.lit(0), lambda n, t: n + chosen(F.col(id_col), config, t).cast("int"))
-    return df.select(id_col, one.alias("visits"))
+    """(id, visits): how many iterations train on each row.
+
+    The ids are dealt evenly, as a small file would be one task's, and a row's place in a permutation is hashed once.
+    """
+    rows = df.select(id_col).repartition(shuffle_partitions(df.sparkSession)).withColumn("_section", _section(F.col(id_col), config))
+    steps, percent = F.sequence(F.lit(0), F.lit(config.iterations - 1)), config.percent
+
+    def place(*parts) -> Column:
+        return _hash([F.col(id_col), config.seed, F.col("_section"), *parts]) * 100
+
+    if config.reshuffle:
+        last = (config.iterations - 1) * percent // 100 + 1
+        rows = rows.withColumn("_places", F.transform(F.sequence(F.lit(0), F.lit(last)), lambda turn: place(turn)))
+
+        def hit(t: Column) -> Column:
+            turn = F.floor(t * percent / 100).cast("int")
+            return _in_part(F.col("_places")[turn], F.col("_places")[turn + 1], t * percent, percent)
+    else:
+
+        def hit(t: Column) -> Column:
+            return place("draw", t) < F.lit(percent) * F.lit(1 << 32)
+
+    return rows.select(id_col, F.aggregate(steps, F.lit(0), lambda n, t: n + hit(t).cast("int")).alias("visits"))
 
 
 def _check(books: list[Codebook]) -> None:
@@ -179,7 +208,11 @@ def roughness(book: Codebook) -> float:
 
 
 def train_together(df: DataFrame, id_col: str, features: list[str], configs: list[Config]) -> tuple[list[Codebook], list[dict]]:
-    """Train all configurations side by side; their codebooks, and per configuration first_mqe, mqe, te, dead over all rows."""
+    """Train all configurations side by side; their codebooks, and per configuration first_mqe, mqe, te, dead over all rows.
+
+    The rows are dealt evenly and written once, as each iteration scans them and a small file would be one task's.
+    """
+    df = materialize(df.select(id_col, *[f for f in features if f != id_col]).repartition(shuffle_partitions(df.sparkSession)), "training-rows")
     books = [Codebook.random(c.grid, features, c.seed) for c in configs]
     first: list[dict] = []
     for t in range(max(c.iterations for c in configs)):

@@ -40,6 +40,8 @@ class Progress:
     best: float | None = None
     best_id: int | None = None
     ended: bool = False
+    #: Time of the earliest waiting row, so that the others need not be read to find it; -1 for none.
+    first: int = -1
 
     def take(self, at: int, row_id: int, value: float | None, rule: Rule) -> str | None:
         """Count one row; the reason if the run ends, before it for a silent run and with it for a stalled one."""
@@ -61,12 +63,15 @@ class Controller(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.progress = handle.getValueState("progress", "steps long, since long, last_ms long, best double, best_id long, ended boolean")
+        self.progress = handle.getValueState("progress", "steps long, since long, last_ms long, best double, best_id long, ended boolean, first long")
         self.waiting = handle.getListState("waiting", "at long, id long, value double")
 
     def _known(self) -> Progress:
         return Progress(*self.progress.get()) if self.progress.exists() else Progress()
 
+    def _keep(self, known: Progress) -> None:
+        self.progress.update((known.steps, known.since, known.last_ms, known.best, known.best_id, known.ended, known.first))
+
     def _wake(self, at: int) -> None:
         for old in list(self.handle.listTimers()):
             self.handle.deleteTimer(old[0] if isinstance(old, tuple) else old)
@@ -78,8 +83,11 @@ class Controller(StatefulProcessor):
             if not known.ended:
                 plain = batch[["at", "id", "value"]].astype(object)
                 self.waiting.appendList(list(plain.where(plain.notna(), None).itertuples(index=False, name=None)))
+                least = int(batch["at"].min())
+                known.first = least if known.first < 0 else min(known.first, least)
         if not known.ended:
-            first = min(at for at, _, _ in self.waiting.get()) // 1000 + 1
+            self._keep(known)
+            first = known.first // 1000 + 1
             self._wake(min(first, known.last_ms + self.rule.idle_ms + 1) if known.steps else first)
         return iter(())
 
@@ -98,7 +106,8 @@ class Controller(StatefulProcessor):
         else:
             self.waiting.clear()
         known.ended = reason is not None
-        self.progress.update((known.steps, known.since, known.last_ms, known.best, known.best_id, known.ended))
+        known.first = rest[0][0] if rest else -1
+        self._keep(known)
         if reason:
             yield pd.DataFrame({"key": [key[0]], "reason": [reason], "ended_ms": [known.last_ms], "steps": [known.steps], "best": pd.array([known.best], "Float64"), "best_id": pd.array([known.best_id], "Int64")})
         else:

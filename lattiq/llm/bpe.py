@@ -43,7 +43,8 @@ SHORT = 64
 #: Words are padded to the next of these byte lengths.
 WIDTHS = (2, 4, 6, 8, 10, 12, 16, 24, 32, 48, SHORT)
 _NONE = np.int32(2**31 - 1)
-_CACHED = 500_000
+#: Words that a worker remembers. Spark keeps more workers than it has cores, and each has a cache.
+_CACHED = 50_000
 
 
 def default_path() -> str:

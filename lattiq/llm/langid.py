@@ -118,7 +118,7 @@ def _score_rows(texts: list[str | None], model: LangModel) -> tuple[list[str], l
         for ids in _pieces(texts[i], model.buckets):
             pending.append((i, ids))
             held += len(ids)
-            if held > 4 * PIECE:
+            if held > PIECE:
                 flush()
                 held = 0
     flush()

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import itertools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -66,30 +66,37 @@ def cut(ids: bytes, capacity: int) -> list[tuple[int, int, int]]:
     return [(a, b - a, zlib.crc32(ids[4 * a : 4 * b])) for a, b in zip(edges, edges[1:])]
 
 
+def collect_pieces(batches: Iterator[pa.RecordBatch], encode_batch: Callable[[list], list[bytes]], capacity: int) -> tuple[list[pa.Array], list[np.ndarray]]:
+    """Ids and (piece, start, length, checksum) of the pieces of a partition, as arrays a batch.
+
+    The ids are copied: a column that came over a stream keeps its whole batch, texts included.
+    """
+    end = np.uint32(END_ID).tobytes()
+    ids, cols = [], []
+    for batch in batches:
+        if batch.num_rows:
+            found = [(row, no, *piece) for row, got in enumerate(encode_batch(batch.column(1).to_pylist())) for no, piece in enumerate(cut(got + end, capacity))]
+            table = np.array(found, np.int64).T
+            ids.append(batch.column(0).take(pa.array(table[0])))
+            cols.append(table[1:])
+    return ids, [np.concatenate(c) for c in zip(*cols, strict=True)]
+
+
 def encode_and_pack(docs: DataFrame, capacity: int, path: str, id_col: str, text_col: str) -> DataFrame:
     """Pieces of all documents with the bin and offset that their own partition gave them."""
     small_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
     id_type = narrow.schema["doc_id"].dataType.simpleString()
-    end = np.uint32(END_ID).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = bpe.load(path)
         base = TaskContext.get().partitionId() << 36
-        cols, owner = [], []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            owner.append(batch.column(0))
-            k = sum(map(len, owner)) - batch.num_rows
-            for row, got in enumerate(encoder.encode_batch(batch.column(1).to_pylist())):
-                cols += [(k + row, no, *piece) for no, piece in enumerate(cut(got + end, capacity))]
-        if not cols:
+        owner, cols = collect_pieces(batches, bpe.load(path).encode_batch, capacity)
+        if not owner:
             return
-        row, piece, start, length, crc = (np.array(c, np.int64) for c in zip(*cols, strict=True))
+        piece, start, length, crc = cols
         bins, offsets = best_fit(length, capacity)
-        ids = pa.chunked_array(owner).take(pa.array(row)).combine_chunks()
-        for a in range(0, len(row), 20_000):
+        ids = pa.concat_arrays(owner)
+        for a in range(0, len(piece), 20_000):
             part = slice(a, a + 20_000)
             yield pa.RecordBatch.from_arrays(
                 [ids[part], pa.array(piece[part], pa.int32()), *(pa.array(x[part], pa.int64()) for x in (start, length, crc, base + bins, offsets))],

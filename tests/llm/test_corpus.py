@@ -2,11 +2,14 @@
 
 import collections
 import hashlib
+import io
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -312,6 +315,29 @@ def test_packing(docs, rows, empty):
     assert packing.pack(empty).count() == 0
 
 
+def test_packing_lets_texts_go():
+    one = pa.record_batch({"doc_id": pa.array([1, 2, None]), "text": ["x" * 400_000, None, "y" * 600_000]})
+    stream = io.BytesIO()
+    with pa.ipc.new_stream(stream, one.schema) as out:
+        for _ in range(20):
+            out.write_batch(one)
+    stream.seek(0)
+    tracemalloc.start()
+    ids, cols = packing.collect_pieces(pa.ipc.open_stream(stream), lambda texts: [b"\1\0\0\0" * (len(t or "") // 100_000) for t in texts], 4)
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 2_000_000  # of 20 MB
+    assert pa.concat_arrays(ids).to_pylist() == [1, 1, 2, None, None] * 20
+    assert [c.tolist()[:5] for c in cols[:3]] == [[0, 1, 0, 0, 1], [0, 1, 0, 0, 3], [1, 4, 1, 3, 4]]
+
+
+def test_the_cache_of_words_is_small():
+    encoder, letters = bpe.ByteBpe(bpe.default_path()), str.maketrans("0123456789", "ghijklmnop")
+    for k in range(0, 120_000, 6_000):
+        encoder.encode_batch([" ".join(f"w{x:x}".translate(letters) for x in range(k, k + 6_000))])
+        assert len(encoder.cache) <= 60_000
+
+
 def test_best_fit_is_tight():
     sizes = np.random.default_rng(0).integers(1, 1025, 5000)
     bins, offsets = packing.best_fit(sizes, 1024)

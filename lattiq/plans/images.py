@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from lattiq.plans.registry import query
 from lattiq.session import scratch_root, shuffle_partitions, table
 from lattiq.sources import image_sets as I
+from lattiq.sources.sinks import write_files
 
-#: The files Spark writes stand for images: a folder a map, in one of two places.
-WRITTEN = (r"/best/dataset=([^/]+)/uid=([^/]+)/[^/]+$", r"/spare/dataset=([^/]+)/uid=([^/]+)/[^/]+$")
+#: Small text files stand for images, in the first two of the usual places.
+WRITTEN = {40: "maps_dataset/rgb", 60: "visualizations"}
 _ROWS = """r AS (SELECT p_partkey AS uid, 'd' || (p_size % 5) AS dataset_name, p_size AS side, round(p_size / 40.0::DOUBLE, 6) AS te, round((p_partkey % 41) / 100.0::DOUBLE, 6) AS dead, round(p_retailprice / 100, 4) AS mqe FROM part)"""
 
 
@@ -29,11 +30,11 @@ def results(spark, d):
 def images(spark, d):
     """Every 40th part has a file in the first place, every 60th one in the second."""
     root = f"{scratch_root(spark)}/images-{uuid.uuid4().hex}"
-    rows = results(spark, d).select(F.col("dataset_name").alias("dataset"), "uid", F.col("map_size").alias("value"))
-    for place, every in (("best", 40), ("spare", 60)):
-        part = rows.where(F.col("uid") % every == 0)
-        part.repartition(shuffle_partitions(spark), "uid").write.partitionBy("dataset", "uid").text(f"{root}/{place}")
-    return I.image_files(spark, root, WRITTEN, "*.txt")
+    places = F.filter(F.array(*[F.when(F.col("uid") % every == 0, F.lit(place)) for every, place in WRITTEN.items()]), lambda x: x.isNotNull())
+    rows = results(spark, d).select("dataset_name", "uid", "map_size", F.explode(places).alias("place"))
+    path = F.concat("dataset_name", F.lit("/results/EA/"), "place", F.lit("/"), "uid", F.lit("_rgb.png"))
+    write_files(rows.select(path.alias("path"), F.col("map_size").alias("value")).repartition(shuffle_partitions(spark), "path"), root)
+    return I.image_files(spark, root)
 
 
 @query(f"""WITH {_ROWS} SELECT uid, dataset_name, side AS map_width, CASE WHEN dead < 0.05 AND te < 0.10 THEN 0.9 ELSE 0.1 END::DOUBLE AS quality_score,
@@ -41,7 +42,7 @@ def images(spark, d):
 FROM r WHERE (uid % 40 = 0 OR uid % 60 = 0) AND (dead > 0.30 OR te > 0.50 OR (dead < 0.05 AND te < 0.10))""")
 def p18_labelled_images(spark, d):
     got = I.labelled_images(I.with_map_size(results(spark, d)), images(spark, d))
-    return got.select("uid", "dataset_name", "map_width", "quality_score", "label_source", "best_mqe", F.regexp_extract("filepath", "/(best|spare)/dataset=", 1).alias("place"))
+    return got.select("uid", "dataset_name", "map_width", "quality_score", "label_source", "best_mqe", F.when(F.contains("filepath", F.lit("/maps_dataset/rgb/")), "best").otherwise("spare").alias("place"))
 
 
 @query(f"WITH {_ROWS} SELECT dataset_name, count(*) AS n_rows, count(*) FILTER (uid % 40 = 0 OR uid % 60 = 0) AS n_images FROM r GROUP BY 1")

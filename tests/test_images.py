@@ -2,7 +2,7 @@
 
 import pytest
 
-from lattiq.sources import image_sets
+from lattiq.sources import image_sets, sinks
 
 
 def test_first_place_wins_and_empty_files_do_not_count(spark, tmp_path):
@@ -28,6 +28,17 @@ def test_first_place_wins_and_empty_files_do_not_count(spark, tmp_path):
     assert {(r.dataset_name, r.n_rows, r.n_images) for r in image_sets.coverage(rows, images).collect()} == {("d1", 3, 2), ("d2", 1, 0), (None, 1, 0)}
 
 
+def test_tasks_write_files_that_share_folders(spark, tmp_path):
+    for _ in range(2):  # again: the same files
+        rows = spark.range(300).selectExpr("concat('d', id % 2, '/results/EA/visualizations/', id, '_rgb.png') AS path", "concat('é', id) AS value")
+        assert sinks.write_files(rows.repartition(7), f"file://{tmp_path}") == 300
+    assert sinks.write_files(rows.where("false"), str(tmp_path)) == 0
+    files = [p for p in tmp_path.rglob("*") if p.is_file()]
+    assert len(files) == 300 and len({p.parent for p in files}) == 2  # no folder a file
+    assert (tmp_path / "d1/results/EA/visualizations/7_rgb.png").read_text(encoding="utf-8") == "é7"
+    assert image_sets.image_files(spark, str(tmp_path)).count() == 300
+
+
 def test_estimates_come_from_the_nearest_group_that_has_any(spark):
     rows = [(1, "g", "d", 4.0, 1.0), (2, "g", "d", 8.0, 3.0), (3, "g", "d", None, 1.0), (4, "h", "d", float("nan"), 1.0), (5, None, None, 5.0, None), (6, "h", "e", 1.0, 2.0)]
     df = spark.createDataFrame(rows, "id int, g string, d string, m double, s double")

@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lattiq.operators.sequences import positions
 from lattiq.operators.stats import dominant
+from lattiq.session import materialize, shuffle_partitions
 
 
 def linear_r2(df: DataFrame, y: str, x1: str, x2: str) -> DataFrame:
@@ -77,18 +81,97 @@ def label_metrics(df: DataFrame, neuron: str, label: str) -> DataFrame:
     return raw.join(F.broadcast(one)).join(F.broadcast(purity))  # one row each
 
 
-def chain_crossings(points: DataFrame, order: str, x: str, y: str) -> DataFrame:
-    """How many pairs of segments of a neuron chain cross."""
-    w = Window.orderBy(order)  # neurons of one chain
-    s = points.select(F.row_number().over(w).alias("k"), F.col(x).alias("x1"), F.col(y).alias("y1"), F.lead(x).over(w).alias("x2"), F.lead(y).over(w).alias("y2")).where("x2 IS NOT NULL")
-    a, b = s.alias("a"), s.alias("b")
-
-    def side(s: str, t: str, e: str) -> Column:
-        ax, ay, bx, by = (F.col(f"{s}.{c}") for c in ("x1", "y1", "x2", "y2"))
-        return F.signum((bx - ax) * (F.col(f"{t}.y{e}") - ay) - (by - ay) * (F.col(f"{t}.x{e}") - ax))
-
-    cross = (side("a", "b", "1") * side("a", "b", "2") < 0) & (side("b", "a", "1") * side("b", "a", "2") < 0)
-    return a.join(b, F.col("b.k") >= F.col("a.k") + 2).agg(F.count_if(cross).alias("crossings"), F.count(F.lit(1)).alias("pairs"))
+#: Most points of a block of a chain, and rows and columns of what is compared at a time (so little that it stays in a core's cache).
+CHAIN_BLOCK, TILE = 8192, (64, 512)
+
+
+def _crossings(a: np.ndarray, b: np.ndarray, same: bool) -> tuple[int, int]:
+    """(crossings, pairs) of the segments of two blocks, each (x, y, is a segment's start); in the *same* one a pair counts once.
+
+    A block's last point only ends a segment, and the first of the next block starts one. Two orientations
+    of a pair share their differences and are those of the two-sided test, operation by operation.
+    """
+    crossings = pairs = 0
+    height, width = TILE
+    for r in range(0, a.shape[1] - 1, height):
+        p = a[:, r : r + height + 1]
+        m = p.shape[1] - 1
+        turn_a = [np.diff(p[k])[:, None] for k in (0, 1)]
+        for c in range(r // width * width if same else 0, b.shape[1] - 1, width):
+            q = b[:, c : c + width + 1]
+            n = q.shape[1] - 1
+            starts = np.count_nonzero(p[2, :m]), np.count_nonzero(q[2, :n])
+            near = same and c < r + height + 2
+            both = None  # all pairs of the tile
+            if near or starts != (m, n):
+                both = (p[2, :m] > 0)[:, None] & (q[2, :n] > 0)
+            if near:  # the second segment comes two or more after the first
+                both &= c + np.arange(n) >= r + np.arange(m)[:, None] + 2
+            dx, dy = q[0] - p[0][:, None], q[1] - p[1][:, None]
+            one = turn_a[0] * dy[:m]
+            one -= turn_a[1] * dx[:m]
+            two = np.diff(q[0]) * dy[:, :n]
+            two -= np.diff(q[1]) * dx[:, :n]
+            left, right = one > 0, one < 0
+            above, below = two > 0, two < 0
+            cross = (left[:, :-1] & right[:, 1:]) | (right[:, :-1] & left[:, 1:])
+            cross &= (above[:-1] & below[1:]) | (below[:-1] & above[1:])
+            pairs += m * n if both is None else int(np.count_nonzero(both))
+            crossings += int(np.count_nonzero(cross if both is None else cross & both))
+    return crossings, pairs
+
+
+def chain_crossings(points: DataFrame, order: str, x: str, y: str, block: int = CHAIN_BLOCK) -> DataFrame:
+    """How many pairs of segments of a neuron chain cross.
+
+    All pairs are compared. Pairs of blocks are dealt to the tasks, of which each holds a few blocks of points and counts.
+    """
+    at = positions(points.select(order, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")), [order])
+    size = F.least(F.lit(block), F.greatest(F.lit(min(block, 512)), F.ceil(F.col("rows") / 32)))  # short chains make several blocks too
+    # a block holds the first point of the next one too, which ends its last segment
+    own = F.floor(F.col("position") / size)
+    twice = F.when((F.col("position") % size == 0) & (own > 0), F.array(own - 1, own)).otherwise(F.array(own))
+    point = F.struct("position", "x", "y")
+    blocks = at.select(F.explode(twice).alias("block"), point.alias("p")).groupBy("block").agg(F.array_sort(F.collect_list("p")).alias("p"))
+    blocks = materialize(blocks.select("block", F.col("p.x").alias("x"), F.col("p.y").alias("y")), "chain-blocks")
+    known = blocks.agg(F.coalesce(F.max("block"), F.lit(0))).first()[0] + 1
+    sides = blocks.select("block", F.explode(F.sequence(F.lit(0), F.lit(known - 1))).alias("other"), "x", "y")
+    sides = sides.select(F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "x", "y")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple | None = None
+        crossings = pairs = 0
+        for batch in batches:
+            for row in range(batch.num_rows):
+                i, j, no = (batch.column(k)[row].as_py() for k in range(3))
+                xs, ys = (batch.column(k)[row].values for k in (3, 4))
+                some = np.array([v.to_numpy(zero_copy_only=False) for v in (xs, ys)], float)  # null: NaN, which crosses nothing
+                starts = np.append(~xs.is_null().to_numpy(zero_copy_only=False)[1:], False)  # a segment whose end is null is none
+                here = np.vstack([some, starts])
+                if i == j:
+                    found = _crossings(here, here, True)
+                elif held is not None and held[:2] == (i, j):
+                    found = _between(held[2], here, j == i + 1)
+                else:
+                    held = (i, j, here)
+                    continue
+                held = None
+                crossings, pairs = crossings + found[0], pairs + found[1]
+        yield pa.RecordBatch.from_arrays([pa.array([v], pa.int64()) for v in (crossings, pairs)], names=["crossings", "pairs"])
+
+    n = max(shuffle_partitions(points.sparkSession), min(known, 2000))
+    dealt = sides.repartition(n, "i", "j").sortWithinPartitions("i", "j", "block")
+    total = dealt.mapInArrow(count, "crossings long, pairs long")
+    return total.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("crossings", "pairs")])
+
+
+def _between(a: np.ndarray, b: np.ndarray, neighbours: bool) -> tuple[int, int]:
+    """(crossings, pairs) of two blocks; the last segment of one and the first of the next share a point and are no pair."""
+    crossings, pairs = _crossings(a, b, False)
+    if neighbours:
+        less = _crossings(a[:, -2:], b[:, :2], False)
+        return crossings - less[0], pairs - less[1]
+    return crossings, pairs
 
 
 def distance_spearman(points: DataFrame, id_col: str, u: list[str], v: list[str]) -> DataFrame:
